@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, flac, mixing, packing, quality
 from .common import table
 
 
@@ -13,7 +13,9 @@ def op1_chat_prefix(spark, sf_dir):
 def queries():
     return {
         "op1_chat_prefix": op1_chat_prefix,
+        "op2_flac": flac.query,
         "op5_quality_rules": quality.query,
+        "op6_packing": packing.query,
         "op7_mixing": mixing.query,
     }
 
