@@ -35,3 +35,16 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints/tidemark"))
     return df.checkpoint(eager=True)
+
+
+def bounded_ids(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most n different keys, chosen by their hash alone; all of them where there are no more than that.
+
+    The share that is kept is set so that n is hardly ever reached; the limit makes the bound hard, so the
+    result may be broadcast or collected.
+    """
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    there = keys.count()
+    if there > n:
+        keys = keys.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 40)) < int((1 << 40) * 0.97 * n / there))
+    return keys.limit(n)

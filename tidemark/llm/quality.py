@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, SPACES, table, words
+from .common import SPACES, bounded_ids, cut, table, words
 
 #: Labelled documents that are learned from, at most.
 SAMPLE = 20_000
@@ -118,7 +118,7 @@ def conditional(rules: list[tuple[Condition, ...]]) -> Column:
 
 
 def learn(labelled: DataFrame, label: str = "quality", cuts: int = 24, precision: float = 0.9, most: int = 12) -> list[tuple[Condition, ...]]:
-    """Rules for rows with label 0 against rows with label 1. labelled: a bounded number of rows with FEATURES."""
+    """Rules for rows with label 0 against rows with label 1. labelled: a bounded number of rows with FEATURES and doc_id."""
     ms = measures()
     rows = labelled.filter(F.col(label).isin(0, 1)).select(*[m.alias(k) for k, m in ms.items()], F.col(label).alias("good"), (F.abs(F.xxhash64("doc_id")) % 3 == 0).alias("held"))
     grid = rows.agg(*[F.percentile_approx(k, [i / cuts for i in range(1, cuts)], 10_000).alias(k) for k in ms]).first()
@@ -180,10 +180,11 @@ def _grow(cells, options):
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[Condition, ...]]:
-    chosen = labels.select("doc_id", "quality").na.drop().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = labels.select("doc_id", "quality").na.drop()
+    chosen = known.join(F.broadcast(bounded_ids(known, sample)), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality")).limit(sample)
     # At most `sample` rows of two numbers are broadcast.
     labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return learn(with_features(labelled))
+    return learn(cut(with_features(labelled).drop("text")))
 
 
 def judge(docs: DataFrame, rules: list[tuple[Condition, ...]]) -> DataFrame:
