@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, flac, langid, mixing, packing, quality
+from . import chat, flac, langid, mixing, packing, quality, urls
 from .common import table
 
 
@@ -17,6 +17,7 @@ def queries():
         "op5_quality_rules": quality.query,
         "op6_packing": packing.query,
         "op7_mixing": mixing.query,
+        "op9_urls": urls.query,
         "op10_langid": langid.query,
     }
 
