@@ -33,6 +33,8 @@ from .packing import chunks
 
 BLOCK = 256
 RATE = 8000
+#: Bytes that are coded side by side; what that takes is about 150 times as much.
+CHUNK = 1 << 20
 #: Samples in a block of decoded PCM.
 PCM_BLOCK = 4096
 APPLICATION = b"tdmk"
@@ -531,7 +533,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch):
+            for part in chunks(batch, most=CHUNK):
                 texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(encode_batch(texts), pa.binary())], ["doc_id", "media"])
 
@@ -540,7 +542,7 @@ def encode(docs: DataFrame) -> DataFrame:
 
 def _decoded(batches):
     for batch in batches:
-        for part in chunks(batch, "media"):
+        for part in chunks(batch, "media", CHUNK):
             media, ids = part.column("media").to_pylist(), part.column("doc_id").to_pylist()
             there = [i for i, m in enumerate(media) if m is not None]
             for i, (info, x) in zip(there, decode_batch([media[i] for i in there])):

@@ -36,12 +36,12 @@ END = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text"):
-    """Slices of a batch whose texts are of CHUNK bytes, or one longer text."""
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK):
+    """Slices of a batch whose texts are of `most` bytes, or one longer text."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, upto - at)
         at = upto
 
