@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,35 +47,84 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK):
         at = upto
 
 
-def load_tokenizer(path: str):
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
-def tokenize(tokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all texts one after another, each with the end id, and where each text's begin (one more than texts).
-
-    The tokenizer never joins what white space parts, so each different word is encoded once.
-    """
-    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    if isinstance(parts, pa.ChunkedArray):
-        parts = parts.combine_chunks()
+#: Words that the tokenizer's rules leave in one piece, perhaps with one run of punctuation behind them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+MARKS = ".,!?;:"
+#: Words that a task remembers, besides those of one chunk.
+KNOWN = 300_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(others)}
+
+
+class WordTokenizer:
+    """Tokenizes batches; with a vocabulary of word ends each different word is encoded only once."""
+
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = bool(getattr(self.tokenizer.model, "end_of_word_suffix", None))
+        self.letters = _byte_letters()
+        self.known: dict[str, list[int]] = {}
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        out = []
+        for k in range(0, len(texts), 5000):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 5000], add_special_tokens=False)]
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[list[int]]:
+        """Ids of lower-case pieces that no rule of the tokenizer parts: its model alone does them."""
+        model, letters = self.tokenizer.model, self.letters
+        return [[t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))] for p in pieces]
+
+    def words(self, words: pa.Array) -> list[list[int]]:
+        """Ids of words without white space; those of the last chunks are remembered."""
+        known, every = self.known, words.to_pylist()
+        if len(known) > KNOWN:
+            known.clear()
+        new = [w for w in every if w not in known]
+        known.update(zip(new, self._new_words(pa.array(new, pa.string()))))
+        return [known[w] for w in every]
+
+    def _new_words(self, words: pa.Array) -> list[list[int]]:
+        simple = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]*$")
+        out: list = [None] * len(words)
+        if pc.any(simple).as_py():
+            mine = words.filter(simple)
+            core = pc.dictionary_encode(pc.utf8_lower(pc.replace_substring_regex(mine, f"[{MARKS}]+$", "")))
+            tail = pc.dictionary_encode(pc.replace_substring_regex(mine, f"^[{LETTERS}]+", ""))
+            cores, tails = self._pieces(core.dictionary.to_pylist()), [self._pieces([t])[0] if t else [] for t in tail.dictionary.to_pylist()]
+            at = np.flatnonzero(simple.to_numpy(zero_copy_only=False)).tolist()
+            for i, c, t in zip(at, core.indices.to_pylist(), tail.indices.to_pylist()):
+                out[i] = cores[c] + tails[t] if tails[t] else cores[c]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, self.encode(words.take(pa.array(rest, pa.int64())).to_pylist())):
+            out[i] = ids
+        return out
+
+
+def tokenize(tokenizer: WordTokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts one after another, each with the end id, and where each text's begin (one more than texts)."""
+    texts = pc.fill_null(texts, "")
+    if not tokenizer.by_words:
+        each = [[*ids, end] for ids in tokenizer.encode(texts.to_pylist())]
+        return np.fromiter(chain.from_iterable(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+    parts = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(parts.flatten())
-    distinct = coded.dictionary.to_pylist()
-    ids: list[int] = []
-    counts = []
-    for k in range(0, len(distinct), 5000):
-        for e in tokenizer.encode_batch_fast(distinct[k : k + 5000], add_special_tokens=False):
-            x = e.ids
-            counts.append(len(x))
-            ids += x
-    table_ids, counts = np.array(ids, np.uint32), np.array(counts, np.int64)
-    begins = np.concatenate([[0], np.cumsum(counts)])[:-1] if len(counts) else np.zeros(0, np.int64)
-    which = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = tokenizer.words(coded.dictionary)
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    table_ids = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+    begins = np.cumsum(counts) - counts
+    which = coded.indices.to_numpy(zero_copy_only=False)
     bounds = np.asarray(parts.offsets)
     bounds = (bounds - bounds[0]).astype(np.int64)
     n = counts[which] if len(which) else np.zeros(0, np.int64)
@@ -84,9 +134,9 @@ def tokenize(tokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np
     out = np.full(int(starts[-1]), end, np.uint32)
     # Every word's ids, moved on by the end ids of the texts before it.
     text_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    place = np.arange(int(upto[-1])) + np.repeat(text_of, n)
-    source = np.arange(int(upto[-1])) + np.repeat((begins[which] if len(which) else n) - upto[:-1], n)
-    out[place] = table_ids[source]
+    at = np.arange(int(upto[-1]))
+    source = at + np.repeat((begins[which] if len(which) else n) - upto[:-1], n)
+    out[at + np.repeat(text_of, n)] = table_ids[source]
     return out, starts
 
 
@@ -135,7 +185,7 @@ def pack(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, end: int
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids also ids (little-endian unsigned 32-bit)."""
 
     def online(batches):
-        tokenizer, windows = load_tokenizer(tokenizer_path), _Windows(OPEN)
+        tokenizer, windows = WordTokenizer(tokenizer_path), _Windows(OPEN)
         number = TaskContext.get().partitionId() << 32
 
         def rows():
