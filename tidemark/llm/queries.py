@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, flac, langid, mixing, packing, quality, substrings, urls
+from . import chat, flac, langid, mixing, neardup, packing, quality, substrings, urls
 from .common import table
 
 
@@ -14,6 +14,7 @@ def queries():
     return {
         "op1_chat_prefix": op1_chat_prefix,
         "op2_flac": flac.query,
+        "op3_neardup": neardup.query,
         "op4_substrings": substrings.query,
         "op5_quality_rules": quality.query,
         "op6_packing": packing.query,
