@@ -50,7 +50,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK):
 #: Words that the tokenizer's rules leave in one piece, perhaps with one run of punctuation behind them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,!?;:"
-#: Words that a task remembers, besides those of one chunk.
+#: Runs of letters that a task remembers, besides those of one chunk.
 KNOWN = 300_000
 
 
@@ -86,30 +86,48 @@ class WordTokenizer:
         model, letters = self.tokenizer.model, self.letters
         return [[t.id for t in model.tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(letters))] for p in pieces]
 
-    def words(self, words: pa.Array) -> list[list[int]]:
-        """Ids of words without white space; those of the last chunks are remembered."""
-        known, every = self.known, words.to_pylist()
-        if len(known) > KNOWN:
-            known.clear()
-        new = [w for w in every if w not in known]
-        known.update(zip(new, self._new_words(pa.array(new, pa.string()))))
-        return [known[w] for w in every]
-
-    def _new_words(self, words: pa.Array) -> list[list[int]]:
-        simple = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]*$")
-        out: list = [None] * len(words)
-        if pc.any(simple).as_py():
-            mine = words.filter(simple)
-            core = pc.dictionary_encode(pc.utf8_lower(pc.replace_substring_regex(mine, f"[{MARKS}]+$", "")))
-            tail = pc.dictionary_encode(pc.replace_substring_regex(mine, f"^[{LETTERS}]+", ""))
-            cores, tails = self._pieces(core.dictionary.to_pylist()), [self._pieces([t])[0] if t else [] for t in tail.dictionary.to_pylist()]
-            at = np.flatnonzero(simple.to_numpy(zero_copy_only=False)).tolist()
-            for i, c, t in zip(at, core.indices.to_pylist(), tail.indices.to_pylist()):
-                out[i] = cores[c] + tails[t] if tails[t] else cores[c]
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self.encode(words.take(pa.array(rest, pa.int64())).to_pylist())):
-            out[i] = ids
-        return out
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words without white space, one after another; where each word's begin, and how many they are.
+
+        A word is cut into its letters in lower case and the marks behind them where the tokenizer's rules part
+        them too; the ids of such letters are remembered from chunk to chunk.
+        """
+        core = pc.utf8_rtrim(words, MARKS)
+        marked = pc.not_equal(pc.binary_length(core), pc.binary_length(words))
+        tails = pc.dictionary_encode(pc.replace_substring_regex(words.filter(marked), f"^.*[^{MARKS}]", ""))
+        coded = pc.dictionary_encode(pc.utf8_lower(core))
+        plain = pc.match_substring_regex(coded.dictionary, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        # Only words that were of these letters before lower-casing, which may turn others into them.
+        simple = plain[which] & pc.match_substring_regex(core, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False) if len(which) else np.zeros(0, bool)
+        cores = coded.dictionary.to_pylist()
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        known = self.known
+        new = [c for c, ok in zip(cores, plain.tolist()) if ok and c not in known]
+        known.update(zip(new, self._pieces(new)))
+        marks = tails.dictionary.to_pylist()
+        others = np.flatnonzero(~simple)
+        none: list[int] = []
+        every = [*[known.get(c, none) if ok else none for c, ok in zip(cores, plain.tolist())], *self._pieces(marks), *self.encode(words.take(pa.array(others)).to_pylist())]
+        n = np.fromiter(map(len, every), np.int64, len(every))
+        ids = np.fromiter(chain.from_iterable(every), np.uint32, int(n.sum()))
+        begin = np.cumsum(n) - n
+        # A word is one list, or that of its letters and that of its marks.
+        first = which.astype(np.int64)
+        first[others] = len(cores) + len(marks) + np.arange(len(others))
+        second = np.full(len(which), -1)
+        second[marked.to_numpy(zero_copy_only=False)] = len(cores) + tails.indices.to_numpy(zero_copy_only=False)
+        second[others] = -1
+        two = second >= 0
+        count = n[first] + np.where(two, n[second], 0)
+        starts = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.uint32)
+        for at, src in ((starts, first), (starts[two] + n[first[two]], second[two])):
+            m = n[src]
+            inside = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            out[np.repeat(at, m) + inside] = ids[np.repeat(begin[src], m) + inside]
+        return out, starts, count
 
 
 def tokenize(tokenizer: WordTokenizer, texts: pa.Array, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -120,10 +138,7 @@ def tokenize(tokenizer: WordTokenizer, texts: pa.Array, end: int = END) -> tuple
         return np.fromiter(chain.from_iterable(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
     parts = pc.ascii_split_whitespace(texts)
     coded = pc.dictionary_encode(parts.flatten())
-    ids = tokenizer.words(coded.dictionary)
-    counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    table_ids = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-    begins = np.cumsum(counts) - counts
+    table_ids, begins, counts = tokenizer.words(coded.dictionary)
     which = coded.indices.to_numpy(zero_copy_only=False)
     bounds = np.asarray(parts.offsets)
     bounds = (bounds - bounds[0]).astype(np.int64)
