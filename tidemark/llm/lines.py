@@ -13,7 +13,8 @@ doc_id, then place), wherever it is; all other lines of the class go.
 
 Work is spread by content hashes: equal lines are merged by partial aggregation before any shuffle, so a
 line that a third of all documents have is one row afterwards, and joins on a segment can be split as
-they are plain joins.
+they are plain joins. As an edit changes the counts of characters by two at most, the joins only give
+pairs whose counts of eight frequent letters differ by 2 * threshold at most; that loses no link.
 
 Edge cases: a null or empty text has no lines that count and stays as it is; lines of white space only
 are neither joined nor removed; very long lines are whole; a null doc_id comes last and doc_ids that
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, table
+from .common import cut, table
 from .components import components
 
 #: (least length, edits), the longest first.
@@ -48,12 +49,28 @@ def _key(line: Column) -> Column:
 def exploded(docs: DataFrame) -> DataFrame:
     """doc_id, at and line of all lines with a word."""
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.select("doc_id", F.posexplode(lines).alias("at", "line")).filter(F.length(F.translate("line", SPACES, "")) > 0)
+    return docs.select("doc_id", F.posexplode(lines).alias("at", "line")).filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def different(docs: DataFrame) -> DataFrame:
-    """line, first (its first place) and n of each different line."""
-    return exploded(docs).groupBy("line").agg(F.min(_place(F.col("doc_id"), F.col("at"))).alias("first"), F.count("*").alias("n"))
+    """key and line of each different line."""
+    return exploded(docs).select("line").distinct().select(_key(F.col("line")).alias("key"), "line")
+
+
+LETTERS = "eanirtos"
+
+
+def counts() -> Column:
+    """How often a line has each of eight letters, modulo 256, as one number."""
+    n = F.length("line")
+    each = [F.pmod(n - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(256)).cast("long") for c in LETTERS]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 8 * i) for i, c in enumerate(each)])
+
+
+def _count_distance(a: Column, b: Column) -> Column:
+    byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+    apart = [F.abs(byte(a, i) - byte(b, i)) for i in range(len(LETTERS))]
+    return reduce(lambda x, y: x + y, [F.least(d, F.lit(256) - d) for d in apart])
 
 
 def _segment(length: int | Column, parts: int, i: int) -> tuple[Column, Column]:
@@ -94,20 +111,74 @@ def probes(threshold: int) -> Column:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs a, b of keys whose lines share a segment. lines: key and line."""
+    """Pairs a, b of keys whose lines share a segment, and alike counts. lines: key and line."""
     n, found = F.length("line"), []
+    counted = lines.select("key", "line", counts().alias("counts"))
     upper = None
     for least, threshold in EDITS:
         # A line is indexed under the threshold of its own length; longer ones probe under that too.
         mine = n >= least if upper is None else (n >= least) & (n < upper)
         asks = n >= least if upper is None else (n >= least) & (n < upper + threshold)
-        index = lines.filter(mine).select(F.col("key").alias("a"), F.explode(segments(threshold)).alias("h"))
-        probe = lines.filter(asks).select(F.col("key").alias("b"), F.explode(probes(threshold)).alias("h"))
-        found.append(index.join(probe, "h").filter("a <> b").select("a", "b"))
+        index = counted.filter(mine).select(F.col("key").alias("a"), F.col("counts").alias("c"), F.explode(segments(threshold)).alias("h"))
+        probe = counted.filter(asks).select(F.col("key").alias("b"), F.col("counts").alias("d"), F.explode(probes(threshold)).alias("g"))
+        near_counts = _count_distance(F.col("c"), F.col("d")) <= 2 * threshold
+        found.append(index.join(probe, (F.col("h") == F.col("g")) & (F.col("a") != F.col("b")) & near_counts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
         upper = least
     return reduce(DataFrame.union, found).distinct()
 
 
+#: So many keys are broadcast at most; beyond that joins are shuffled.
+SMALL = 1_000_000
+
+
+def _bounded(keys: DataFrame) -> DataFrame:
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Pairs a < b of keys of near lines."""
+    pairs = cut(candidates(different(docs)))
+    keys = _bounded(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()))
+    texts = cut(exploded(docs).select(_key(F.col("line")).alias("key"), "line").join(keys, F.col("key") == F.col("k"), "left_semi").dropDuplicates(["key"]))
+    of = lambda side: texts.select(F.col("key").alias(side), F.col("line").alias(f"line_{side}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").filter(near(F.col("line_a"), F.col("line_b"))).select("a", "b")
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, at, key, class (a key), first (the class's first place), n_links of the line, and removed, for each line with a word."""
+    found = cut(links(docs))
+    classes = cut(components(found.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    degree = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    known = _bounded(cut(classes.join(degree, "node")))
+    place = _place(F.col("doc_id"), F.col("at"))
+    lines = exploded(docs).select("doc_id", "at", _key(F.col("line")).alias("key")).join(known, F.col("key") == F.col("node"), "left")
+    lines = lines.select("doc_id", "at", "key", F.coalesce("component", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n_class")).select(F.col("class").alias("c"), "first", "n_class")
+    return lines.join(first, F.col("class") == F.col("c")).select("doc_id", "at", "key", "class", "first", "n_links", (place != F.col("first")).alias("removed"))
+
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """docs without the lines that go; a document of which every line with a word goes is left out."""
+    gone = judged(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("at", "key")).alias("_gone"))
+    lines = F.split("text", "\n", -1)
+    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("at"), _key(x).alias("key"))))
+    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
+    some = F.col("_kept").isNull() | F.exists("_kept", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return joined.filter(some).withColumn("text", F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text"))).select(*docs.columns)
+
+
+def query(spark, sf_dir: str) -> DataFrame:
+    """Per document: its lines, those removed, links of its lines, the smallest doc_id of its lines' classes, and a hash of what is kept."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.when(~F.col("removed"), F.xxhash64("at", "key"))
+    first_doc = F.floor(F.col("first") / F.lit(2**32).cast("decimal(11,0)")).cast("long")
+    sums = judged(docs).groupBy(F.col("doc_id").alias("id")).agg(
+        F.count("*").alias("n_lines"), F.sum(F.col("removed").cast("long")).alias("n_removed"), F.sum("n_links").alias("n_links"), F.min(first_doc).alias("class_id"), F.bit_xor(kept).alias("kept_hash")
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return docs.select("doc_id").join(sums, F.col("doc_id").eqNullSafe(F.col("id")), "left").select("doc_id", zero("n_lines"), zero("n_removed"), zero("n_links"), F.coalesce("class_id", "doc_id").alias("class_id"), zero("kept_hash"))
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
