@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, flac, langid, mixing, neardup, packing, quality, substrings, urls
+from . import chat, flac, langid, lines, mixing, neardup, packing, quality, substrings, urls
 from .common import table
 
 
@@ -19,6 +19,7 @@ def queries():
         "op5_quality_rules": quality.query,
         "op6_packing": packing.query,
         "op7_mixing": mixing.query,
+        "op8_lines": lines.query,
         "op9_urls": urls.query,
         "op10_langid": langid.query,
     }
