@@ -21,11 +21,12 @@ def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Dat
     return rows.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def merge(table: DataFrame, log: DataFrame, keys: Sequence[str], version: str, seq: str = "seq", op: str = "op") -> DataFrame:
+def merge(table: DataFrame, log: DataFrame, keys: Sequence[str], version: str, seq: str = "seq", op: str = "op", keep_deletes: bool = False) -> DataFrame:
     """An entity table after a log of writes (op I, U or D): the highest version wins, then the later sequence.
 
     A stale write that arrives late loses by its version; a delete removes the key if it wins. table has
-    the same columns; its rows count as sequence 0 where it has none.
+    the same columns; its rows count as sequence 0 where it has none. With keep_deletes the deletes that
+    won stay as rows, so that a write that is older yet comes later can't bring the key back.
     """
     base = table
     if seq not in table.columns:
@@ -33,7 +34,7 @@ def merge(table: DataFrame, log: DataFrame, keys: Sequence[str], version: str, s
     if op not in table.columns:
         base = base.withColumn(op, F.lit("I"))
     won = latest(base.unionByName(log, allowMissingColumns=True), keys, [F.col(version).desc(), F.col(seq).desc()])
-    return won.filter(F.col(op) != "D").drop(op)
+    return won if keep_deletes else won.filter(F.col(op) != "D").drop(op)
 
 
 def delete_positions(rows: DataFrame, deletes: DataFrame, on: Sequence[str] = ("file_path", "pos")) -> DataFrame:

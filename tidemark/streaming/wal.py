@@ -41,12 +41,17 @@ def materialize(spark: SparkSession, log: str, table: str, schema: StructType, k
     def apply(batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(f"{table}/v={batch_id}") if batch_id else None
         log_rows = batch if "op" in batch.columns else batch.withColumn("op", F.lit("I"))
-        base = before if before is not None else spark.createDataFrame([], log_rows.drop("op").schema)
-        merge(base, log_rows, keys, version).write.mode("overwrite").parquet(f"{table}/v={batch_id + 1}")
+        base = before if before is not None else spark.createDataFrame([], log_rows.schema)
+        merge(base, log_rows, keys, version, keep_deletes=True).write.mode("overwrite").parquet(f"{table}/v={batch_id + 1}")
 
     return source.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, table: str, version: int) -> DataFrame:
+    """The rows of a snapshot; deletes, which it keeps for late writes, are left out."""
+    return spark.read.parquet(f"{table}/v={version}").filter("op <> 'D'").drop("op")
+
+
 def generator(spark: SparkSession, rate: int, unique: int, payload_bytes: int, seed: int = 1, rows: int | None = None) -> DataFrame:
     """Synthetic tasks: unique_id in [0, unique), random payload; a rate stream, or `rows` rows of a batch."""
     source = spark.readStream.format("rate").option("rowsPerSecond", max(1, rate)).load() if rows is None else spark.range(rows).select(F.col("id").alias("value"), F.timestamp_millis(F.lit(0)).alias("timestamp"))
