@@ -14,7 +14,7 @@ doc_id, then place), wherever it is; all other lines of the class go.
 Work is spread by content hashes: equal lines are merged by partial aggregation before any shuffle, so a
 line that a third of all documents have is one row afterwards, and joins on a segment can be split as
 they are plain joins. As an edit changes the counts of characters by two at most, the joins only give
-pairs whose counts of eight frequent letters differ by 2 * threshold at most; that loses no link.
+pairs whose counts of sixteen frequent letters differ by 2 * threshold at most; that loses no link.
 
 Edge cases: a null or empty text has no lines that count and stays as it is; lines of white space only
 are neither joined nor removed; very long lines are whole; a null doc_id comes last and doc_ids that
@@ -57,20 +57,20 @@ def different(docs: DataFrame) -> DataFrame:
     return exploded(docs).select("line").distinct().select(_key(F.col("line")).alias("key"), "line")
 
 
-LETTERS = "eanirtos"
+#: Frequent letters of Latin scripts; a text without them only has more candidates.
+LETTERS = "eanirtoslduhcmgp"
 
 
 def counts() -> Column:
-    """How often a line has each of eight letters, modulo 256, as one number."""
-    n = F.length("line")
-    each = [F.pmod(n - F.length(F.replace("line", F.lit(c), F.lit(""))), F.lit(256)).cast("long") for c in LETTERS]
-    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 8 * i) for i, c in enumerate(each)])
+    """How often a line (of size code points) has each of sixteen letters, modulo 16, as one number."""
+    each = [(F.col("size") - F.length(F.replace("line", F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15).cast("long")) for c in LETTERS]
+    return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 4 * i) for i, c in enumerate(each)])
 
 
 def _count_distance(a: Column, b: Column) -> Column:
-    byte = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
-    apart = [F.abs(byte(a, i) - byte(b, i)) for i in range(len(LETTERS))]
-    return reduce(lambda x, y: x + y, [F.least(d, F.lit(256) - d) for d in apart])
+    part = lambda x, i: F.shiftrightunsigned(x, 4 * i).bitwiseAND(F.lit(15).cast("long"))
+    apart = [(part(a, i) - part(b, i)).bitwiseAND(F.lit(15).cast("long")) for i in range(len(LETTERS))]
+    return reduce(lambda x, y: x + y, [F.least(d, 16 - d) for d in apart])
 
 
 def _segment(length: int | Column, parts: int, i: int) -> tuple[Column, Column]:
@@ -85,8 +85,8 @@ def _hash(threshold: int, length: Column, i: int, text: Column) -> Column:
 
 
 def segments(threshold: int) -> Column:
-    """Hashes of a line's segments, with its length."""
-    n = F.length("line")
+    """Hashes of a line's segments, with its size."""
+    n = F.col("size")
     out = []
     for i in range(threshold + 1):
         begin, size = _segment(n, threshold + 1, i)
@@ -95,8 +95,8 @@ def segments(threshold: int) -> Column:
 
 
 def probes(threshold: int) -> Column:
-    """Hashes of the substrings that may be segments of lines up to threshold shorter."""
-    n = F.length("line")
+    """Hashes of the substrings that may be segments of lines up to threshold shorter, but for a line's own segments."""
+    n = F.col("size")
     out = []
     for shorter in range(threshold + 1):
         m = n - shorter
@@ -106,23 +106,28 @@ def probes(threshold: int) -> Column:
             left = range(-i, i + 1)
             right = range(shorter - (threshold - i), shorter + (threshold - i) + 1)
             for move in sorted(set(left) & set(right)):
+                if not shorter and not move:
+                    continue
                 out.append(F.when((begin + move >= 0) & (begin + move + size <= n), _hash(threshold, m, i, F.substr("line", begin + move + 1, size))))
     return F.array_compact(F.array(*out))
 
 
 def candidates(lines: DataFrame) -> DataFrame:
     """Pairs a, b of keys whose lines share a segment, and alike counts. lines: key and line."""
-    n, found = F.length("line"), []
-    counted = lines.select("key", "line", counts().alias("counts"))
+    n, found = F.col("size"), []
+    counted = lines.withColumn("size", F.length("line")).filter(n >= min(least for least, _ in EDITS)).withColumn("counts", counts())
     upper = None
     for least, threshold in EDITS:
         # A line is indexed under the threshold of its own length; longer ones probe under that too.
         mine = n >= least if upper is None else (n >= least) & (n < upper)
         asks = n >= least if upper is None else (n >= least) & (n < upper + threshold)
-        index = counted.filter(mine).select(F.col("key").alias("a"), F.col("counts").alias("c"), F.explode(segments(threshold)).alias("h"))
-        probe = counted.filter(asks).select(F.col("key").alias("b"), F.col("counts").alias("d"), F.explode(probes(threshold)).alias("g"))
-        near_counts = _count_distance(F.col("c"), F.col("d")) <= 2 * threshold
-        found.append(index.join(probe, (F.col("h") == F.col("g")) & (F.col("a") != F.col("b")) & near_counts).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        index = counted.filter(mine).select("key", "counts", F.explode(segments(threshold)).alias("h"))
+        probe = counted.filter(asks).select("key", "counts", F.explode(probes(threshold)).alias("h"))
+        # Segments at the same place are shared by the index with itself, whose exchange is used twice.
+        for other, order in ((index, F.col("i.key") < F.col("p.key")), (probe, F.col("i.key") != F.col("p.key"))):
+            on = (F.col("i.h") == F.col("p.h")) & order & (_count_distance(F.col("i.counts"), F.col("p.counts")) <= 2 * threshold)
+            pairs = index.alias("i").join(other.alias("p"), on)
+            found.append(pairs.select(F.least("i.key", "p.key").alias("a"), F.greatest("i.key", "p.key").alias("b")))
         upper = least
     return reduce(DataFrame.union, found).distinct()
 
@@ -153,7 +158,7 @@ def judged(docs: DataFrame) -> DataFrame:
     place = _place(F.col("doc_id"), F.col("at"))
     lines = exploded(docs).select("doc_id", "at", _key(F.col("line")).alias("key")).join(known, F.col("key") == F.col("node"), "left")
     lines = lines.select("doc_id", "at", "key", F.coalesce("component", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    first = lines.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n_class")).select(F.col("class").alias("c"), "first", "n_class")
+    first = lines.groupBy("class").agg(F.min(place).alias("first")).select(F.col("class").alias("c"), "first")
     return lines.join(first, F.col("class") == F.col("c")).select("doc_id", "at", "key", "class", "first", "n_links", (place != F.col("first")).alias("removed"))
 
 
