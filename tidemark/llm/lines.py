@@ -14,7 +14,7 @@ doc_id, then place), wherever it is; all other lines of the class go.
 Work is spread by content hashes: equal lines are merged by partial aggregation before any shuffle, so a
 line that a third of all documents have is one row afterwards, and joins on a segment can be split as
 they are plain joins. As an edit changes the counts of characters by two at most, the joins only give
-pairs whose counts of sixteen frequent letters differ by 2 * threshold at most; that loses no link.
+pairs whose counts of twelve frequent letters differ by 2 * threshold at most; that loses no link.
 
 Edge cases: a null or empty text has no lines that count and stays as it is; lines of white space only
 are neither joined nor removed; very long lines are whole; a null doc_id comes last and doc_ids that
@@ -53,16 +53,17 @@ def exploded(docs: DataFrame) -> DataFrame:
 
 
 def different(docs: DataFrame) -> DataFrame:
-    """key and line of each different line."""
-    return exploded(docs).select("line").distinct().select(_key(F.col("line")).alias("key"), "line")
+    """key, line, size and counts of each different line; the last two are counted before the shuffle, as two joins need them after it."""
+    lines = exploded(docs).select("line", F.length("line").alias("size"))
+    return lines.withColumn("counts", counts()).distinct().select(_key(F.col("line")).alias("key"), "line", "size", "counts")
 
 
 #: Frequent letters of Latin scripts; a text without them only has more candidates.
-LETTERS = "eanirtoslduhcmgp"
+LETTERS = "eanirtoslduh"
 
 
 def counts() -> Column:
-    """How often a line (of size code points) has each of sixteen letters, modulo 16, as one number."""
+    """How often a line (of size code points) has each of twelve letters, modulo 16, as one number."""
     each = [(F.col("size") - F.length(F.replace("line", F.lit(c), F.lit("")))).cast("long").bitwiseAND(F.lit(15).cast("long")) for c in LETTERS]
     return reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(c, 4 * i) for i, c in enumerate(each)])
 
@@ -113,9 +114,9 @@ def probes(threshold: int) -> Column:
 
 
 def candidates(lines: DataFrame) -> DataFrame:
-    """Pairs a, b of keys whose lines share a segment, and alike counts. lines: key and line."""
+    """Pairs a, b of keys whose lines share a segment, and alike counts. lines: as different() gives them."""
     n, found = F.col("size"), []
-    counted = lines.withColumn("size", F.length("line")).filter(n >= min(least for least, _ in EDITS)).withColumn("counts", counts())
+    counted = lines.filter(n >= min(least for least, _ in EDITS))
     upper = None
     for least, threshold in EDITS:
         # A line is indexed under the threshold of its own length; longer ones probe under that too.
@@ -132,7 +133,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, found).distinct()
 
 
-#: So many keys are broadcast at most; beyond that joins are shuffled.
+#: So many keys, or removed lines, are broadcast at most; beyond that joins are shuffled.
 SMALL = 1_000_000
 
 
@@ -164,7 +165,9 @@ def judged(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs without the lines that go; a document of which every line with a word goes is left out."""
-    gone = judged(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("at", "key")).alias("_gone"))
+    gone = cut(judged(docs).filter("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set(F.struct("at", "key")).alias("_gone")))
+    if (gone.agg(F.sum(F.size("_gone"))).first()[0] or 0) <= SMALL:
+        gone = F.broadcast(gone)
     lines = F.split("text", "\n", -1)
     kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", F.struct(i.alias("at"), _key(x).alias("key"))))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left").withColumn("_kept", F.when(F.col("_gone").isNotNull(), kept))
