@@ -14,6 +14,7 @@ an empty result; further columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import ctypes
 import zlib
 from itertools import chain
 
@@ -32,7 +33,7 @@ OPEN = 64
 #: Partitions whose leftovers are merged in one task: at most OPEN * GROUP windows.
 GROUP = 16
 #: Bytes of text that are tokenized at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 END = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 
@@ -45,13 +46,22 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK):
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, upto - at)
         at = upto
+    give_back()
+
+
+def give_back() -> None:
+    """Returns free memory to the system, as Python workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 #: Words that the tokenizer's rules leave in one piece, perhaps with one run of punctuation behind them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,!?;:"
 #: Runs of letters that a task remembers, besides those of one chunk.
-KNOWN = 300_000
+KNOWN = 200_000
 
 
 def _byte_letters() -> dict[int, int]:
