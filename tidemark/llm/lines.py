@@ -59,7 +59,7 @@ def different(docs: DataFrame) -> DataFrame:
 
 
 #: Frequent and less frequent letters, of one byte each; a text without them only has more candidates.
-LETTERS = "etnrdcmpbfgv"
+LETTERS = "aeioslhkdmcp"
 
 
 def counts() -> Column:
