@@ -65,9 +65,12 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         .otherwise(_repeated_places(F.col("_h"))),
     )
     gaps = F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda a, b: F.least(F.lit(3), F.coalesce(b - a, F.lit(3))))
-    return placed.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")).withColumn(
+    counted = placed.withColumn("n_repeat_words", F.coalesce(F.aggregate(gaps, F.lit(0), lambda s, x: s + x), F.lit(0)).cast("long")).withColumn(
         "n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
-    ).drop("_w", "_lines", "_h", "_s", "_twice", "_p")
+    )
+    # A generator, as filters on the features must not be pushed into the steps above: each would be copied where it is used.
+    kept = [c for c in docs.columns if c not in FEATURES]
+    return counted.select(*kept, F.inline(F.array(F.struct(*FEATURES))))
 
 
 def _repeated_places(h: Column) -> Column:
