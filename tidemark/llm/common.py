@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
 from pyspark import cloudpickle
@@ -37,10 +38,15 @@ def shared_folder(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's shared checkpoint folder and reads it from there, so that it isn't computed again.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests) another one is set.
+    The folder is the one in spark.checkpoint.dir; only where that is unset (tests) another one is set. As
+    nothing leads back behind df then, Spark's cleaner may drop its shuffle files; it does so once the driver's
+    garbage is collected, which would otherwise be long after the disks are full.
     """
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    written = df.checkpoint(eager=True)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return written
 
 
 def bounded_ids(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

@@ -33,7 +33,7 @@ OPEN = 64
 #: Partitions whose leftovers are merged in one task: at most OPEN * GROUP windows.
 GROUP = 16
 #: Bytes of text that are tokenized at once.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 END = 2
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, open boolean"
 
@@ -61,7 +61,7 @@ def give_back() -> None:
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = ".,!?;:"
 #: Runs of letters that a task remembers, besides those of one chunk.
-KNOWN = 200_000
+KNOWN = 100_000
 
 
 def _byte_letters() -> dict[int, int]:
