@@ -90,9 +90,9 @@ def merge_small(stats: DataFrame, most: int, by: Sequence[str] = ()) -> DataFram
 # ---------------------------------------------------------------- files
 
 
-def compaction_plan(files: DataFrame, order: str, size: str, target: int) -> DataFrame:
-    """Bins of about target size by cumulative size in order. files: one row for each file."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+def compaction_plan(files: DataFrame, order: str, size: str, target: int, by: Sequence[str] = ()) -> DataFrame:
+    """Bins of about target size by cumulative size in order, in each partition `by`. files: one row for each file."""
+    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return files.withColumn("bin", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / target).cast("long"))
 
 
