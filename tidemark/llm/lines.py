@@ -109,8 +109,9 @@ def probes(threshold: int) -> Column:
             for move in sorted(set(left) & set(right)):
                 if not shorter and not move:
                     continue
-                out.append(F.when((begin + move >= 0) & (begin + move + size <= n), _hash(threshold, m, i, F.substr("line", begin + move + 1, size))))
-    return F.array_compact(F.array(*out))
+                # Always inside the line, as the shortest lines' segments are longer than any move.
+                out.append(_hash(threshold, m, i, F.substr("line", begin + move + 1, size)))
+    return F.array(*out)
 
 
 def candidates(lines: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def judged(docs: DataFrame) -> DataFrame:
     known = _bounded(cut(classes.join(degree, "node")))
     place = _place(F.col("doc_id"), F.col("at"))
     lines = exploded(docs).select("doc_id", "at", _key(F.col("line")).alias("key")).join(known, F.col("key") == F.col("node"), "left")
-    lines = lines.select("doc_id", "at", "key", F.coalesce("component", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    lines = cut(lines.select("doc_id", "at", "key", F.coalesce("component", "key").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
     first = lines.groupBy("class").agg(F.min(place).alias("first")).select(F.col("class").alias("c"), "first")
     return lines.join(first, F.col("class") == F.col("c")).select("doc_id", "at", "key", "class", "first", "n_links", (place != F.col("first")).alias("removed"))
 
