@@ -231,3 +231,13 @@ def test_neighbours_stay_inside_trees():
     raw = np.zeros((4, 4 * neardup.DEPTH + neardup.SKETCH), np.uint8)
     a, b, _ = neardup._pairs(rep, rep, np.array([0, 0, 1, 1]), raw, neardup.DEPTH, neardup.ALIKE)
     assert list(zip(a.tolist(), b.tolist())) == [(0, 1), (2, 3)]
+
+
+def test_runs_within_crowded_prefixes():
+    """Of 60 documents that share 3 values, or all 4, each meets all 20 of its own run."""
+    rep = np.arange(60)
+    for column in (4 * neardup.DEPTH - 1, 4 * neardup.DEPTH):
+        raw = np.zeros((60, 4 * neardup.DEPTH + neardup.SKETCH), np.uint8)
+        raw[:, column] = rep // 20
+        a, b, _ = neardup._pairs(rep, rep, np.zeros(60, int), raw, neardup.DEPTH, neardup.ALIKE)
+        assert {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 20 == j // 20} <= set(zip(a.tolist(), b.tolist()))

@@ -4,8 +4,9 @@ A document's set is that of its 5-word shingles. Documents with equal sets are o
 bits of set fingerprint, and only the class's first document goes on. The forest has `TREES` orders of
 signatures: each is the documents sorted by `DEPTH` minimum hashes of its own and then by a sketch of
 all (one byte for each of `SKETCH` minimum hashes). Candidates are neighbours in an order that share a
-long enough prefix. How long adapts to the region: the shortest prefix, of 2 values at least, whose run
-has at most `RUN` documents; where even the longest are shared by more, `CROWDED` neighbours on.
+long enough prefix. How long adapts to the region: the shortest prefix, of 2 values at least and into the
+sketch, whose run has at most `RUN` documents; where all `DEPTH` values are shared by more, `CROWDED`
+neighbours on besides.
 Candidates whose sketches agree on less than `ALIKE` bytes are let go.
 
 Candidates are then confirmed on the full sets, in work units of bounded size: a document's set is sent
@@ -43,7 +44,7 @@ from .substrings import Unit, _mix, _multipliers
 
 WORDS, PERCENT = 5, 75
 TREES, DEPTH, SKETCH, RUN = 24, 4, 64, 32
-#: Neighbours on where whole prefixes are shared by more than RUN documents, in the first trees.
+#: Neighbours on where all DEPTH values are shared by more than RUN documents, in the first trees.
 CROWDED = 5
 LEAST_DEPTH = 2
 #: Pairs that are confirmed in one work unit, about.
@@ -171,22 +172,26 @@ def _pairs(rep, part, tree, raw, depth, least_alike):
     values = np.concatenate([same[:, : 4 * depth].reshape(n - 1, depth, 4).all(axis=2), same[:, 4 * depth :]], axis=1)
     values &= (tree[1:] == tree[:-1])[:, None]
     shared = np.where(values.all(axis=1), values.shape[1], np.argmin(values, axis=1))
-    # The depth of each row's region.
-    need, crowded = np.full(n, depth), np.ones(n, bool)
-    for d in range(depth - 1, LEAST_DEPTH - 1, -1):
+    # The depth of each row's region, into the sketch where whole prefixes are shared by too many.
+    need, crowded = np.full(n, values.shape[1]), np.ones(n, bool)
+    for d in range(int(shared.max()), LEAST_DEPTH - 1, -1):
         run = np.concatenate([[0], np.cumsum(shared < d)])
         small = np.bincount(run)[run] <= RUN
-        need[small], crowded[small] = d, False
+        need[small] = d
+        if d <= depth:
+            crowded[small] = False
     out_a, out_b, out_dense = [], [], []
     least = np.full(n, values.shape[1])  # what a row shares with the row `step` on
     sketch = raw[:, 4 * depth :]
     for step in range(1, min(RUN, n)):
         least = np.minimum(least[: n - step], shared[step - 1 :])
-        i = np.flatnonzero(least >= np.minimum(need[: n - step], need[step:]))
+        whole = np.minimum(need[: n - step], need[step:])
+        if step <= (CROWDED if least_alike == ALIKE else RUN):
+            # Within crowded prefixes some neighbours more than the sketch's run.
+            whole = np.where(crowded[: n - step] & crowded[step:], depth, whole)
+        i = np.flatnonzero(least >= whole)
         if not len(i):
             break
-        if step > (CROWDED if least_alike == ALIKE else RUN):
-            i = i[~(crowded[i] & crowded[i + step])]
         i = i[part[i] != part[i + step]]
         i = i[(sketch[i] == sketch[i + step]).sum(axis=1) >= least_alike]
         out_a.append(np.minimum(rep[i], rep[i + step]))
