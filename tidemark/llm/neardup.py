@@ -20,7 +20,13 @@ A link of similarity 0.75 is a candidate of a tree with probability 0.56 in spar
 all 24 with 3e-9). In dense ones, as in groups of hundreds of near copies, prefixes are 4 and more long.
 Documents that are candidates there get `MORE_TREES` further trees of `MORE_DEPTH` minimum hashes, and
 those of their pairs that no link connects yet, and that `FINE` more minimum hashes don't rule out, are
-confirmed too.
+confirmed too. That joins most of what belongs together, at little cost; the remainder is exact: all
+documents that share 2 values with more than `RUN` others in some tree are joined by prefix filter, rarest
+shingles first, where their parts are still different. A pair that crowding hid from the trees shares such
+a run, so none of them is lost. Keys there hold classes of sizes, so that boilerplate that is too short for
+a link stays outside the prefixes, and a key of many documents is cut into pairs of blocks. The rows grow with
+the square of a group only where that many documents of different parts share a shingle of their prefixes,
+that is, where they are close to the limit.
 A pair that the edge of a range partition parts is lost to that one tree only.
 
 Edge cases: null and empty texts have no words: n_shingles 0, their own component, kept; fewer than five
@@ -58,6 +64,12 @@ ALIKE, ALIKE_AGAIN = 32, 38
 #: Minimum hashes by which pairs of the further trees are judged before they are confirmed, and how many
 #: of them they share at least: 3.3 standard deviations below the limit's 288.
 FINE, LIKELY = 384, 260
+#: Buckets in which shingles are counted for the exact remainder, a power of two, and documents in a block of one key.
+TALLY_BITS, BLOCK = 21, 1024
+#: Least sizes of the classes of set sizes, a twentieth apart.
+CLASSES = [1]
+while CLASSES[-1] < 1 << 31:
+    CLASSES.append(max(CLASSES[-1] + 1, CLASSES[-1] * 21 // 20))
 
 
 def shingle_sets(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -140,7 +152,10 @@ def tree_parts(trees: int, depth: int, again: bool) -> list[list[int]]:
 
 
 def candidates(reps: DataFrame, partitions: int, trees: int = TREES, depth: int = DEPTH, again: bool = False) -> DataFrame:
-    """Pairs a < b of neighbours in some tree, of different parts, and whether a region of theirs was dense. reps: rep, part, mins, sketch."""
+    """Pairs a < b of neighbours in some tree, of different parts, and whether a region of theirs was dense. reps: rep, part, mins, sketch.
+
+    In the first trees also each document of a run above RUN, as a pair of itself.
+    """
     least = ALIKE_AGAIN if again else ALIKE
     turned = lambda t: t * SKETCH // trees
     key = lambda t, own: F.concat(
@@ -159,10 +174,20 @@ def candidates(reps: DataFrame, partitions: int, trees: int = TREES, depth: int
                 now = tuple(np.concatenate([a, b]) for a, b in zip(tail, now))
             tail = tuple(x[-4 * RUN :] for x in now)
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*now, depth, least)], ["a", "b", "dense"])
+            if not again:
+                own = pa.array(np.unique(now[0][_crowd(now[2], raw=now[3])]))
+                yield pa.RecordBatch.from_arrays([own, own, pa.array(np.ones(len(own), bool))], ["a", "b", "dense"])
 
     return ordered.mapInArrow(neighbours, "a long, b long, dense boolean").groupBy("a", "b").agg(F.max("dense").alias("dense"))
 
 
+def _crowd(tree, raw):
+    """Which rows share LEAST_DEPTH values with more than RUN documents."""
+    same = (raw[1:, : 4 * LEAST_DEPTH] == raw[:-1, : 4 * LEAST_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
+    run = np.concatenate([[0], np.cumsum(~same)])[: len(tree)]
+    return np.bincount(run)[run] > RUN
+
+
 def _pairs(rep, part, tree, raw, depth, least_alike):
     n = len(rep)
     if n < 2:
@@ -292,6 +317,113 @@ def confirm(docs: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     return rows.repartition(partitions, "unit").sortWithinPartitions("unit", F.col("b").isNotNull(), "a", "b").mapInArrow(compare, "u long, v long")
 
 
+def _held_sets(part: pa.RecordBatch):
+    """All shingles of a slice, the row of each and the sizes of the sets."""
+    sets = shingle_sets(part)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    return np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes
+
+
+def tally(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """For each bucket of shingles how many there are, and whether documents of different parts hold them. held: text, rep, part."""
+
+    def count(batches):
+        n = np.zeros(1 << TALLY_BITS, np.int32)
+        low, high = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), np.iinfo(np.int64).min)
+        for batch in batches:
+            for slice_ in chunks(batch, most=1 << 20):
+                every, row, _ = _held_sets(slice_)
+                bucket = (_mix(every) >> np.uint64(64 - TALLY_BITS)).astype(np.int64)
+                part = slice_.column("part").to_numpy(zero_copy_only=False)[row]
+                np.add.at(n, bucket, 1)
+                np.minimum.at(low, bucket, part)
+                np.maximum.at(high, bucket, part)
+        there = np.flatnonzero(n)
+        for k in range(0, len(there), 1 << 16):
+            at = there[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64)), pa.array(low[at]), pa.array(high[at])], ["bucket", "n", "low", "high"])
+
+    rows = held.mapInArrow(count, "bucket int, n long, low long, high long").groupBy("bucket").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("mixed")).toArrow()
+    n, mixed = np.zeros(1 << TALLY_BITS, np.int64), np.zeros(1 << TALLY_BITS, bool)
+    at = rows.column("bucket").to_numpy()
+    n[at], mixed[at] = rows.column("n").to_numpy(), rows.column("mixed").to_numpy(zero_copy_only=False)
+    return n, mixed
+
+
+def remainder(docs: DataFrame, ids: DataFrame, partitions: int) -> DataFrame:
+    """All pairs a < b of different parts that may be links, by prefix filter. ids: rep, part.
+
+    With shingles in one order for all, sets of n and m shingles whose first common one is the i-th of one (from
+    0) have n - i in common at most, and links have 3/7 of n + m at least. So i allows partners of up to `most`
+    = 7/3 of (n - i) - n shingles.
+    """
+    few = F.broadcast(ids) if ids.count() <= SMALL else ids
+    held = docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep")).select("doc_id", "text", "rep", "part")
+    counted = tally(held)
+    least = np.array(CLASSES, np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(counted)
+
+    def prefixes(batches):
+        count, mixed = shared.value
+        for batch in batches:
+            for slice_ in chunks(batch, most=1 << 20):
+                every, row, sizes = _held_sets(slice_)
+                bucket = (_mix(every) >> np.uint64(64 - TALLY_BITS)).astype(np.int64)
+                order = np.lexsort((every, count[bucket], row))
+                n = sizes[row]
+                i = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                most = 7 * (n - i) // 3 - n
+                low, high = (3 * n + 3) // 4, np.minimum(most, 4 * n // 3)
+                at = np.flatnonzero((high >= low) & mixed[bucket[order]])
+                first = np.searchsorted(least, low[at], "right")
+                span = np.searchsorted(least, high[at], "right") - first + 1
+                other = np.repeat(first, span) + np.arange(int(span.sum())) - np.repeat(np.cumsum(span) - span, span)
+                at = np.repeat(at, span)
+                own = np.searchsorted(least, n[at], "right")
+                both = np.minimum(own, other).astype(np.uint64) << np.uint64(32) | np.maximum(own, other).astype(np.uint64)
+                key = _mix(every[order][at] ^ _mix(both * np.uint64(0x9E3779B97F4A7C15)))
+                ids_of = [slice_.column(c).to_numpy(zero_copy_only=False)[row[at]] for c in ("rep", "part")]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), *map(pa.array, ids_of), pa.array(n[at]), pa.array(most[at]), pa.array(other)], ["key", "rep", "part", "n", "most", "other"])
+
+    rows = held.mapInArrow(prefixes, "key long, rep long, part long, n long, most long, other long")
+    keys = cut(rows.groupBy("key").agg(F.count("*").alias("n"), (F.min("part") < F.max("part")).alias("mixed")).filter("mixed").select(F.col("key").alias("k"), F.ceil(F.col("n") / BLOCK).alias("blocks")))
+    keys = F.broadcast(keys) if keys.count() <= SMALL else keys
+    dealt = rows.join(keys, F.col("key") == F.col("k")).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    unit = F.xxhash64("key", F.least("block", "with"), F.greatest("block", "with"))
+    dealt = dealt.select(unit.alias("unit"), "rep", "part", "n", "most", "other", "block", (F.col("block") == F.col("with")).alias("alone"))
+
+    def meet(batches):
+        tail = None
+        for batch in batches:
+            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
+            if tail is not None:
+                now = [np.concatenate(x) for x in zip(tail, now)]
+            # The last unit may go on in the next batch.
+            whole = int(np.searchsorted(now[0], now[0][-1], "left")) if len(now[0]) else 0
+            tail = [x[whole:] for x in now]
+            yield from met(*[x[:whole] for x in now])
+        if tail is not None:
+            yield from met(*tail)
+
+    def met(unit, rep, part, n, most, other, block, alone):
+        own = np.searchsorted(least, n, "right")
+        at = np.arange(len(unit))
+        for step in range(1, len(unit)):
+            at = at[at < len(unit) - step]
+            at = at[unit[at] == unit[at + step]]
+            if not len(at):
+                break
+            x, y = at, at + step
+            good = (part[x] != part[y]) & (n[x] <= most[y]) & (n[y] <= most[x]) & (own[x] == other[y]) & (own[y] == other[x])
+            good &= alone[x] | (block[x] != block[y])
+            x, y = rep[x[good]], rep[y[good]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    return dealt.repartition(partitions, "unit").sortWithinPartitions("unit").mapInArrow(meet, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -299,7 +431,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     there = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(there.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "mins", "sketch")).alias("x")).select("f1", "f2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.mins", "x.sketch"))
     signed_reps = classes.select("rep", F.col("rep").alias("part"), "mins", "sketch")
-    pairs = cut(candidates(signed_reps, parts))
+    near = cut(candidates(signed_reps, parts))
+    pairs = near.filter("a < b")
     found = components(confirm(docs, pairs.select("a", "b"), parts))
     # Dense regions once more, for pairs that no link connects yet.
     dense = pairs.filter("dense").select(F.explode(F.array("a", "b")).alias("x")).distinct()
@@ -309,6 +442,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     apart = cut(likely(docs, cut(more), again))
     if not apart.isEmpty():
         found = components(confirm(docs, apart, parts).union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    # What crowding may have hidden, exactly.
+    crowd = signed_reps.select("rep").distinct().join(near.filter("a = b").select("a"), F.col("rep") == F.col("a"), "left_semi")
+    crowd = cut(crowd.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("part")))
+    if not crowd.isEmpty():
+        rest = cut(remainder(docs, crowd, parts))
+        if not rest.isEmpty():
+            found = components(confirm(docs, rest, parts).union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     roots = classes.select("f1", "f2", F.col("n_shingles").alias("n"), "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "n", F.coalesce("component", "rep").alias("root"))
     joined = signed.select("doc_id", "n_shingles", "f1", "f2").join(roots, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
