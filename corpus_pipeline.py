@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import langid, lines, mixing, neardup, packing
 from tidemark.llm.common import cut, shared_folder, table
 
-#: Below this share of words the main language is no reason to keep a document.
+#: Below this share of words the main language is no reason to keep a document. Words of no learned language count too.
 LEAST_SHARE = 1 / 3
 
 

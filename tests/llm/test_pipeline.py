@@ -67,3 +67,15 @@ def test_odd_documents(spark, odd, empty, tmp_path):
             if name != "packing":
                 assert docs.columns == start.columns
         assert (docs.count() > 0) == (k == 0)
+
+
+def test_language_stage_rejects(spark):
+    """Documents of four and more equal languages, and letter junk, go; those with a main language stay."""
+    from llm.test_rows import made_up
+
+    speak = made_up()
+    rows = [(i, f(400), lang) for i, (lang, f) in enumerate(list(speak.items()) * 3)]
+    rows += [(100 + n, " ".join(f(80) for f in list(speak.values())[:n]), None) for n in (1, 2, 4, 5)]
+    rows += [(200, "".join("вxzяw"[i % 5] + " жzyхv"[i * i % 6] for i in range(600)), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in pipeline.language(spark, docs, "").collect()} == {*range(15), 101, 102}

@@ -274,6 +274,26 @@ def test_language_of_odd_documents(odd, empty):
     assert {r.lang_pred for r in langid.identify(odd, none).collect()} == {"und"}
 
 
+def made_up(n_languages=5):
+    """Words of languages with letters of their own."""
+    r = np.random.default_rng(8)
+    letters = ["abcdefg", "hijklmn", "opqrstu", "äöüßéèà", "абвгдеж"][:n_languages]
+    return {f"l{k}": lambda n, own=own: " ".join("".join(r.choice(list(own), 4)) for _ in range(n)) for k, own in enumerate(letters)}
+
+
+def test_more_than_three_languages(spark):
+    speak = made_up()
+    model = langid.learn(spark.createDataFrame([(i, f(400), lang) for i, (lang, f) in enumerate(list(speak.items()) * 3)], "doc_id long, text string, lang string"))
+    texts = [" ".join(f(80) for f in list(speak.values())[:n]) for n in (1, 3, 4, 5)]
+    r = np.random.default_rng(9)
+    junk = " ".join("".join(r.choice(list("vwxyzкхцчшщ"), 6)) for _ in range(320))
+    for n, found in zip((1, 3, 4, 5), model.predict(pa.array(texts))):
+        assert len(found) == n and all(abs(p - 1 / n) < 0.03 for _, p in found)
+    # A hash that a made-up word has in common with a learned one may give a language some hundredths.
+    (main, *_), alone = model.predict(pa.array([texts[0] + " " + junk, junk]))
+    assert main[0] == "l0" and abs(main[1] - 0.2) < 0.05 and sum(p for _, p in alone) < 0.2
+
+
 def test_long_text_is_whole(spark, odd):
     r = next(r for r in quality.with_features(odd.filter("doc_id = 4")).collect())
     assert r.n_words == 30_000 == len(LONG.split())

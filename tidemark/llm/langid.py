@@ -1,15 +1,18 @@
 """Language identification by a mixture of languages, inferred for each document.
 
 A word's likelihood under a language is that of its letter trigrams (lower case, with word borders), as
-counted in labelled documents. A document is a mixture of languages over its words: expectation
-maximisation estimates the proportions, and the set of languages is the one with the best likelihood
-less half a logarithm of the number of words for each language (the Bayesian information criterion).
+counted in labelled documents. A document is a mixture over its words, of all learned languages and of a
+background in which all trigrams are alike, for words of no learned language. Its set starts with the best
+single one; the one that promises the largest gain is added as long as the likelihood, less half a logarithm
+of the number of words for each (the Bayesian information criterion), improves. Expectation maximisation
+estimates the proportions. They are of all words with a letter, so those of the languages add up to less
+than 1 where the background has a share.
 
 Learning takes a bounded sample of at most `SAMPLE` labelled documents, whole texts, and gives one table
 of counts, of at most `BUCKETS` rows for each language; that table is broadcast.
 
-Edge cases: a null text, or one without a letter, is `und` with score 0 and no languages, as is every
-text where nothing could be learned; long texts are whole; ties go to the first language by name;
+Edge cases: a null text, one without a letter, or one that the background alone explains, is `und` with
+score 0 and no languages, as is every text where nothing could be learned; long texts are whole; ties go to the first language by name;
 repeated rows get equal results; an empty table gives an empty result; other columns stay, except that
 languages, lang_pred and score are replaced.
 """
@@ -28,8 +31,6 @@ from .packing import chunks
 
 SAMPLE = 20_000
 BUCKETS = 1 << 17
-#: Languages that a document's set is chosen from: those with the largest proportions.
-TOP = 3
 ROUNDS = 8
 UNKNOWN = "und"
 
@@ -70,15 +71,18 @@ class Model:
         self.languages = languages
         total = counts.sum(axis=0)
         self.log = np.log((counts + 0.1) / (total + 0.1 * BUCKETS)).astype(np.float32)
+        #: Of a trigram in the background.
+        self.background = -float(np.log(BUCKETS))
 
     def predict(self, texts: pa.Array) -> list[list[tuple[str, float]]]:
-        """For each text its languages with their proportions, the largest first; none if it has no letter."""
+        """For each text its languages with their proportions, the largest first; none if it has no letter or is background alone."""
         words, which, bounds = split(texts)
         n_docs, n_lang = len(bounds) - 1, len(self.languages)
         if not n_lang or not len(words):
             return [[]] * n_docs
         bucket, word, has = trigrams(words)
         score = np.stack([np.bincount(word, self.log[bucket, k], len(words)) for k in range(n_lang)], axis=1)
+        score = np.concatenate([score, np.bincount(word, minlength=len(words))[:, None] * self.background], axis=1)
         score = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -60.0)).astype(np.float32)
         doc = np.repeat(np.arange(n_docs), np.diff(bounds))
         kept = has[which]
@@ -87,35 +91,46 @@ class Model:
             return [[]] * n_docs
         there = np.concatenate([[0], np.flatnonzero(np.diff(doc)) + 1])
         docs, n = doc[there], np.diff(np.append(there, len(doc)))
-        p = score[which]
-        shares = self._shares(p, there, n, np.full((len(docs), n_lang), 1.0 / n_lang, np.float32))[0]
-        top = np.argsort(-shares, axis=1, kind="stable")[:, :TOP]
-        first = np.repeat(np.arange(len(docs)), n)
-        q = np.take_along_axis(p, top[first], axis=1)
-        best, out = None, None
-        for m in range(1, top.shape[1] + 1):
-            begin = np.zeros((len(docs), top.shape[1]), np.float32)
-            begin[:, :m] = np.maximum(np.take_along_axis(shares, top, axis=1)[:, :m], 1e-3)
-            begin /= begin.sum(axis=1, keepdims=True)
-            s, fit = self._shares(q[:, :m], there, n, begin[:, :m]) if m > 1 else (begin[:, :1], np.add.reduceat(np.log(q[:, 0].astype(np.float64)), there))
-            worth = fit - 0.5 * m * np.log(np.maximum(n, 2))
-            full = np.zeros((len(docs), top.shape[1]), np.float32)
-            full[:, :m] = s
-            if best is None:
-                best, out = worth, full
-            else:
-                better = worth > best + 1e-9
-                best, out = np.where(better, worth, best), np.where(better[:, None], full, out)
+        p = score[which] + np.float32(1e-12)
+        log = np.log(score + np.float32(1e-12))[which]
+        fits = np.add.reduceat(log, there, axis=0, dtype=np.float64)
+        best = fits.max(axis=1) - 0.5 * np.log(np.maximum(n, 2))
+        out = np.zeros((len(docs), n_lang + 1), np.float32)
+        out[np.arange(len(docs)), fits.argmax(axis=1)] = 1
+        # Rows of out that may still improve, and the words of them.
+        left, mine = np.arange(len(docs)), np.arange(len(which))
+        for m in range(2, n_lang + 2):
+            sizes = n[left]
+            begin = np.cumsum(sizes) - sizes
+            shares = out[left]
+            now = np.log((p[mine] * np.repeat(shares, sizes, axis=0)).sum(axis=1))
+            gain = np.add.reduceat(np.maximum(log[mine] - now[:, None], 0), begin, axis=0)
+            gain[shares > 0] = -1
+            added = gain.argmax(axis=1)
+            shares = shares * np.float32(1 - 1 / m)
+            shares[np.arange(len(left)), added] = 1 / m
+            # The set's m columns alone.
+            columns = np.sort(np.argsort(shares <= 0, axis=1, kind="stable")[:, :m], axis=1)
+            q = np.take_along_axis(p[mine], np.repeat(columns, sizes, axis=0), axis=1)
+            s, fit = self._shares(q, begin, sizes, np.take_along_axis(shares, columns, axis=1))
+            worth = fit - 0.5 * m * np.log(np.maximum(sizes, 2))
+            better = worth > best[left] + 1e-9
+            full = np.zeros_like(shares)
+            np.put_along_axis(full, columns, np.maximum(s, 1e-9), axis=1)
+            mine = mine[np.repeat(better, sizes)]
+            left = left[better]
+            best[left], out[left] = worth[better], full[better]
+            if not len(left):
+                break
         found: list = [[]] * n_docs
         for i, d in enumerate(docs.tolist()):
-            pairs = [(self.languages[top[i, k]], float(out[i, k])) for k in range(top.shape[1]) if out[i, k] > 0]
+            pairs = [(self.languages[k], float(out[i, k])) for k in np.flatnonzero(out[i, :n_lang]).tolist()]
             found[d] = sorted(pairs, key=lambda x: (-x[1], x[0]))
         return found
 
     @staticmethod
     def _shares(p, there, n, shares):
         """Expectation maximisation from shares; the proportions and the log likelihood."""
-        p = p + np.float32(1e-12)
         for _ in range(ROUNDS):
             r = p * np.repeat(shares, n, axis=0)
             r /= r.sum(axis=1, keepdims=True)
