@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import sys
+import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,26 +27,61 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+"), "")
 
 
+def columns(df: DataFrame, without=()) -> list[Column]:
+    """The columns of df, whatever their names are."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in without]
+
+
+def as_row(df: DataFrame, *more: Column | str) -> DataFrame:
+    """df's columns in one struct, `row`, beside others: so no name of theirs can clash with an operator's own."""
+    return df.select(F.struct(*columns(df)).alias("row"), *more)
+
+
+def of_row(df: DataFrame, without=()) -> list[Column]:
+    """The columns that as_row() put away; df: as it was before."""
+    return [F.col(f"row.`{c}`").alias(c) for c in df.columns if c not in without]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which driver and executors share."""
+    """The session's checkpoint folder, which driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a local session (one machine, as in tests) gets a temporary folder; a cluster gets an error.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints/tidemark"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidemark-"))
     return sc.getCheckpointDir()
 
 
+#: Spark's setting by which a query's shuffle files go when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the cluster's shared checkpoint folder and reads it from there, so that it isn't computed again.
 
-    The folder is the one in spark.checkpoint.dir; only where that is unset (tests) another one is set. As
-    nothing leads back behind df then, Spark's cleaner may drop its shuffle files; it does so once the driver's
-    garbage is collected, which would otherwise be long after the disks are full.
+    As nothing leads back behind df then, its shuffle files go at once. What is written stays until release().
     """
     shared_folder(df.sparkSession)
-    written = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return written
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        conf.set(CLEANUP, before)
+
+
+def release(*cuts: DataFrame) -> None:
+    """Deletes what cut() wrote for these; no later job may read them."""
+    for df in cuts:
+        file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bounded_ids(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:

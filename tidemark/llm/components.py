@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now, sign = cut(edges.select("u", "v").filter("u <> v").distinct()), None
     while True:
-        now = cut(_stars(_stars(now, True), False))
+        before, now = now, cut(_stars(_stars(now, True), False))
+        release(before)
         new = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if new == sign:
             break

@@ -4,30 +4,29 @@ A document's set is that of its 5-word shingles. Documents with equal sets are o
 bits of set fingerprint, and only the class's first document goes on. The forest has `TREES` orders of
 signatures: each is the documents sorted by `DEPTH` minimum hashes of its own and then by a sketch of
 all (one byte for each of `SKETCH` minimum hashes). Candidates are neighbours in an order that share a
-long enough prefix. How long adapts to the region: the shortest prefix, of 2 values at least and into the
-sketch, whose run has at most `RUN` documents; where all `DEPTH` values are shared by more, `CROWDED`
-neighbours on besides.
-Candidates whose sketches agree on less than `ALIKE` bytes are let go.
+long enough prefix. How long adapts to the region: the shortest prefix, of 2 values at least, whose run
+has at most `RUN` documents. Where all `DEPTH` values are shared by more, a document's only candidate is
+the one of its `RUN` neighbours on either side whose sketch is most like its own. Candidates whose
+sketches agree on less than `ALIKE` bytes are let go.
 
 Candidates are then confirmed on the full sets, in work units of bounded size: a document's set is sent
 once for each unit it is in, not for each pair, and a pair that is already connected within its unit is
 not compared again, as it would add nothing to the components.
 
+What adapting hid is joined exactly: all documents that share 2 values with more than `RUN` others in
+some tree (and a pair that adapting hid shares such a run) are joined by prefix filter, rarest shingles
+first, where their parts are still different. Keys there hold classes of sizes, so that boilerplate that
+is too short for a link stays outside the prefixes, and a key of many documents is cut into pairs of
+blocks. So a group of copies costs in proportion to its size, and rows grow with the square of a group
+only where that many documents of different parts share a shingle of their prefixes, that is, where they
+are all close to the limit.
+
 No task holds a group: orders are range-partitioned by the whole signature, units are cut by their
 number of pairs, and components come from star contraction.
 
-A link of similarity 0.75 is a candidate of a tree with probability 0.56 in sparse regions (missed by
-all 24 with 3e-9). In dense ones, as in groups of hundreds of near copies, prefixes are 4 and more long.
-Documents that are candidates there get `MORE_TREES` further trees of `MORE_DEPTH` minimum hashes, and
-those of their pairs that no link connects yet, and that `FINE` more minimum hashes don't rule out, are
-confirmed too. That joins most of what belongs together, at little cost; the remainder is exact: all
-documents that share 2 values with more than `RUN` others in some tree are joined by prefix filter, rarest
-shingles first, where their parts are still different. A pair that crowding hid from the trees shares such
-a run, so none of them is lost. Keys there hold classes of sizes, so that boilerplate that is too short for
-a link stays outside the prefixes, and a key of many documents is cut into pairs of blocks. The rows grow with
-the square of a group only where that many documents of different parts share a shingle of their prefixes,
-that is, where they are close to the limit.
-A pair that the edge of a range partition parts is lost to that one tree only.
+A link of similarity 0.75 is a candidate of a tree with probability 0.56 (missed by all 20 trees with
+7e-8) and passes the sketch filter but for 2e-6. A pair that the edge of a range partition parts is lost
+to that one tree only.
 
 Edge cases: null and empty texts have no words: n_shingles 0, their own component, kept; fewer than five
 words are one shingle; long texts are whole; doc_id is the key: rows that repeat it are one document in
@@ -43,27 +42,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, release, table
 from .components import components
 from .packing import chunks
 from .substrings import Unit, _mix, _multipliers
 
 WORDS, PERCENT = 5, 75
-TREES, DEPTH, SKETCH, RUN = 24, 4, 64, 32
-#: Neighbours on where all DEPTH values are shared by more than RUN documents, in the first trees.
-CROWDED = 5
+TREES, DEPTH, SKETCH, RUN = 20, 4, 64, 32
 LEAST_DEPTH = 2
 #: Pairs that are confirmed in one work unit, about.
 UNIT_PAIRS = 500
-#: So many pairs of document and unit are broadcast at most, two numbers each; beyond that the join is shuffled.
+#: So many rows of a few numbers are broadcast at most; beyond that the join is shuffled.
 SMALL = 1_000_000
-#: Trees for documents of dense regions, and their depth.
-MORE_TREES, MORE_DEPTH = 72, 6
-#: Bytes of the sketch that candidates share at least: 4.6 and 2.9 standard deviations below the limit's 48.
-ALIKE, ALIKE_AGAIN = 32, 38
-#: Minimum hashes by which pairs of the further trees are judged before they are confirmed, and how many
-#: of them they share at least: 3.3 standard deviations below the limit's 288.
-FINE, LIKELY = 384, 260
+#: Bytes of the sketch that candidates share at least: 4.6 standard deviations below the limit's 48.
+ALIKE = 32
 #: Buckets in which shingles are counted for the exact remainder, a power of two, and documents in a block of one key.
 TALLY_BITS, BLOCK = 21, 1024
 #: Least sizes of the classes of set sizes, a twentieth apart.
@@ -143,117 +135,80 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, mins binary, sketch binary")
 
 
-def tree_parts(trees: int, depth: int, again: bool) -> list[list[int]]:
-    """The minimum hashes that each tree is sorted by: its own, or for further trees a seeded choice of all."""
-    if not again:
-        return [list(range(t * depth, (t + 1) * depth)) for t in range(trees)]
-    pick = np.random.default_rng(3)
-    return [pick.choice(TREES * DEPTH, depth, replace=False).tolist() for _ in range(trees)]
-
-
-def candidates(reps: DataFrame, partitions: int, trees: int = TREES, depth: int = DEPTH, again: bool = False) -> DataFrame:
-    """Pairs a < b of neighbours in some tree, of different parts, and whether a region of theirs was dense. reps: rep, part, mins, sketch.
+def candidates(reps: DataFrame, partitions: int) -> DataFrame:
+    """Pairs a < b of neighbours in some tree, and whether a region of theirs holds more than RUN documents (crowd).
 
-    In the first trees also each document of a run above RUN, as a pair of itself.
+    A document of such a region that has no pair there is given as a pair of itself. reps: rep, mins, sketch.
     """
-    least = ALIKE_AGAIN if again else ALIKE
-    turned = lambda t: t * SKETCH // trees
-    key = lambda t, own: F.concat(
-        *[F.substring("mins", 1 + 4 * k, 4) for k in own], F.substring("sketch", 1 + turned(t), SKETCH), F.substring("sketch", 1, turned(t))
-    )
-    keys = [F.struct(F.lit(t).alias("tree"), key(t, own).alias("key")) for t, own in enumerate(tree_parts(trees, depth, again))]
-    rows = reps.select("rep", "part", F.explode(F.array(*keys)).alias("x")).select("rep", "part", "x.tree", "x.key")
+    turned = lambda t: t * SKETCH // TREES
+    key = lambda t: F.concat(F.substring("mins", 1 + 4 * DEPTH * t, 4 * DEPTH), F.substring("sketch", 1 + turned(t), SKETCH), F.substring("sketch", 1, turned(t)))
+    keys = [F.struct(F.lit(t).alias("tree"), key(t).alias("key")) for t in range(TREES)]
+    rows = reps.select("rep", F.explode(F.array(*keys)).alias("x")).select("rep", "x.tree", "x.key")
     ordered = rows.repartitionByRange(partitions, "tree", "key").sortWithinPartitions("tree", "key")
 
     def neighbours(batches):
         tail = None
         for batch in batches:
-            raw = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(batch.num_rows, 4 * depth + SKETCH)
-            now = (batch.column("rep").to_numpy(zero_copy_only=False), batch.column("part").to_numpy(zero_copy_only=False), batch.column("tree").to_numpy(zero_copy_only=False), raw)
+            raw = np.frombuffer(b"".join(batch.column("key").to_pylist()), np.uint8).reshape(batch.num_rows, 4 * DEPTH + SKETCH)
+            now = (batch.column("rep").to_numpy(zero_copy_only=False), batch.column("tree").to_numpy(zero_copy_only=False), raw)
             if tail is not None:
                 now = tuple(np.concatenate([a, b]) for a, b in zip(tail, now))
+            # A run that goes on in the next batch is seen there with as many rows as it takes to be crowded.
             tail = tuple(x[-4 * RUN :] for x in now)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*now, depth, least)], ["a", "b", "dense"])
-            if not again:
-                own = pa.array(np.unique(now[0][_crowd(now[2], raw=now[3])]))
-                yield pa.RecordBatch.from_arrays([own, own, pa.array(np.ones(len(own), bool))], ["a", "b", "dense"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _pairs(*now)], ["a", "b", "crowd"])
 
-    return ordered.mapInArrow(neighbours, "a long, b long, dense boolean").groupBy("a", "b").agg(F.max("dense").alias("dense"))
+    return ordered.mapInArrow(neighbours, "a long, b long, crowd boolean").groupBy("a", "b").agg(F.max("crowd").alias("crowd"))
 
 
-def _crowd(tree, raw):
-    """Which rows share LEAST_DEPTH values with more than RUN documents."""
-    same = (raw[1:, : 4 * LEAST_DEPTH] == raw[:-1, : 4 * LEAST_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
-    run = np.concatenate([[0], np.cumsum(~same)])[: len(tree)]
-    return np.bincount(run)[run] > RUN
+def _runs(shared, depth):
+    """The number of the run of `depth` shared values that each row is in, and how many rows that has. shared: with the next row."""
+    run = np.concatenate([[0], np.cumsum(shared < depth)])
+    return run, np.bincount(run)[run]
 
 
-def _pairs(rep, part, tree, raw, depth, least_alike):
+def _pairs(rep, tree, raw):
+    """a, b and crowd of the rows of one window, which are sorted by tree and raw."""
     n = len(rep)
-    if n < 2:
+    if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-    # The prefix that each row shares with the next: in hashes, then in bytes of the sketch.
-    same = raw[1:] == raw[:-1]
-    values = np.concatenate([same[:, : 4 * depth].reshape(n - 1, depth, 4).all(axis=2), same[:, 4 * depth :]], axis=1)
-    values &= (tree[1:] == tree[:-1])[:, None]
-    shared = np.where(values.all(axis=1), values.shape[1], np.argmin(values, axis=1))
-    # The depth of each row's region, into the sketch where whole prefixes are shared by too many.
-    need, crowded = np.full(n, values.shape[1]), np.ones(n, bool)
-    for d in range(int(shared.max()), LEAST_DEPTH - 1, -1):
-        run = np.concatenate([[0], np.cumsum(shared < d)])
-        small = np.bincount(run)[run] <= RUN
-        need[small] = d
-        if d <= depth:
-            crowded[small] = False
-    out_a, out_b, out_dense = [], [], []
-    least = np.full(n, values.shape[1])  # what a row shares with the row `step` on
-    sketch = raw[:, 4 * depth :]
+    same = (raw[1:, : 4 * DEPTH] == raw[:-1, : 4 * DEPTH]).reshape(n - 1, DEPTH, 4).all(axis=2) & (tree[1:] == tree[:-1])[:, None]
+    shared = np.where(same.all(axis=1), DEPTH, np.argmin(same, axis=1))
+    # The depth of each row's region; crowded where even whole prefixes are shared by too many.
+    need, crowded = np.full(n, DEPTH), np.ones(n, bool)
+    for d in range(DEPTH, LEAST_DEPTH - 1, -1):
+        small = _runs(shared, d)[1] <= RUN
+        need[small], crowded[small] = d, False
+    crowd = _runs(shared, LEAST_DEPTH)[1] > RUN
+    sketch = raw[:, 4 * DEPTH :]
+    left, right = [], []
+    mate, likeness = np.full(n, -1), np.zeros(n, np.int64)
+    least = np.full(n, DEPTH)  # what a row shares with the row `step` on
     for step in range(1, min(RUN, n)):
         least = np.minimum(least[: n - step], shared[step - 1 :])
-        whole = np.minimum(need[: n - step], need[step:])
-        if step <= (CROWDED if least_alike == ALIKE else RUN):
-            # Within crowded prefixes some neighbours more than the sketch's run.
-            whole = np.where(crowded[: n - step] & crowded[step:], depth, whole)
-        i = np.flatnonzero(least >= whole)
+        i = np.flatnonzero(least >= np.minimum(need[: n - step], need[step:]))
         if not len(i):
             break
-        i = i[part[i] != part[i + step]]
-        i = i[(sketch[i] == sketch[i + step]).sum(axis=1) >= least_alike]
-        out_a.append(np.minimum(rep[i], rep[i + step]))
-        out_b.append(np.maximum(rep[i], rep[i + step]))
-        out_dense.append(np.maximum(need[i], need[i + step]) > LEAST_DEPTH + 1)
-    if not out_a:
-        return _pairs(rep[:1], part, tree, raw, depth, least_alike)
-    a, b, dense = map(np.concatenate, (out_a, out_b, out_dense))
-    order = np.lexsort((~dense, b, a))
-    a, b, dense = a[order], b[order], dense[order]
-    kept = (a != b) & np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    return a[kept], b[kept], dense[kept]
-
-
-def likely(docs: DataFrame, pairs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Pairs that share LIKELY of FINE further minimum hashes at least. ids: rep, all that pairs hold."""
-
-    def sign(batches):
-        hashes = Hashes(FINE, 17)
-        for batch in batches:
-            for part in chunks(batch, most=1 << 20):
-                raw = hashes.least(shingle_sets(part)).tobytes()
-                size = 4 * FINE
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([raw[i * size : (i + 1) * size] for i in range(part.num_rows)], pa.binary())], ["id", "mins"])
-
-    few = ids.select("rep").distinct()
-    few = F.broadcast(few) if few.count() <= SMALL else few
-    signed = cut(docs.select("doc_id", "text").join(few, F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(sign, "id long, mins binary").groupBy("id").agg(F.min("mins").alias("mins")))
-    of = lambda side: signed.select(F.col("id").alias(f"id_{side}"), F.col("mins").alias(f"mins_{side}"))
-    both = pairs.join(of("a"), F.col("a") == F.col("id_a")).join(of("b"), F.col("b") == F.col("id_b")).select("a", "b", "mins_a", "mins_b")
-
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, FINE) for c in ("mins_a", "mins_b"))
-            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= LIKELY))
-
-    return both.mapInArrow(run, "a long, b long")
+        alike = (sketch[i] == sketch[i + step]).sum(axis=1)
+        i, alike = i[alike >= ALIKE], alike[alike >= ALIKE]
+        dense = crowded[i]
+        left.append(i[~dense])
+        right.append(i[~dense] + step)
+        i, alike = i[dense], alike[dense]
+        for one, other in ((i, i + step), (i + step, i)):
+            better = alike > likeness[one]
+            mate[one[better]], likeness[one[better]] = other[better], alike[better]
+    left.append(np.flatnonzero(mate >= 0))
+    right.append(mate[left[-1]])
+    x, y = np.concatenate(left), np.concatenate(right)
+    alone = crowd.copy()
+    alone[x] = alone[y] = False
+    alone = np.flatnonzero(alone)
+    x, y = np.concatenate([x, alone]), np.concatenate([y, alone])
+    a, b, crowd = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), crowd[x]
+    order = np.lexsort((~crowd, b, a))
+    a, b, crowd = a[order], b[order], crowd[order]
+    first = np.append(np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    return a[first], b[first], crowd[first]
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
@@ -263,10 +218,12 @@ def confirm(docs: DataFrame, pairs: DataFrame, partitions: int) -> DataFrame:
     near = ends.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("near"))
     of = lambda side: near.select(F.col("x").alias(f"x_{side}"), F.col("near").alias(f"near_{side}"))
     labelled = cut(pairs.join(of("a"), F.col("a") == F.col("x_a")).join(of("b"), F.col("b") == F.col("x_b")).select("a", "b", F.least("near_a", "near_b").alias("label")))
-    sizes = labelled.groupBy("label").count().select(F.col("label").alias("l"), F.ceil(F.sqrt(F.col("count") / UNIT_PAIRS)).alias("cuts"))
+    sizes = cut(labelled.groupBy("label").count().filter(F.col("count") > UNIT_PAIRS).select(F.col("label").alias("l"), F.ceil(F.sqrt(F.col("count") / UNIT_PAIRS)).alias("many")))
+    sizes = F.broadcast(sizes) if sizes.count() <= SMALL else sizes
     # A grid of both sides: a document is in at most 2 * cuts units of its label.
-    unit = F.xxhash64("label", F.pmod(F.xxhash64("a"), "cuts"), F.pmod(F.xxhash64("b"), "cuts"))
-    units = cut(labelled.join(sizes, F.col("label") == F.col("l")).select("a", "b", unit.alias("unit")))
+    cuts = F.coalesce("many", F.lit(1).cast("long"))
+    unit = F.xxhash64("label", F.pmod(F.xxhash64("a"), cuts), F.pmod(F.xxhash64("b"), cuts))
+    units = cut(labelled.join(sizes, F.col("label") == F.col("l"), "left").select("a", "b", unit.alias("unit")))
     needed = cut(units.select(F.col("a").alias("id"), "unit").union(units.select(F.col("b").alias("id"), "unit")).distinct().groupBy("id").agg(F.collect_list("unit").alias("units")))
     n = needed.agg(F.sum(F.size("units"))).first()[0] or 0
     if n <= SMALL:
@@ -430,25 +387,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(signatures(docs))
     there = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = cut(there.groupBy("f1", "f2", "n_shingles").agg(F.min(F.struct("doc_id", "mins", "sketch")).alias("x")).select("f1", "f2", "n_shingles", F.col("x.doc_id").alias("rep"), "x.mins", "x.sketch"))
-    signed_reps = classes.select("rep", F.col("rep").alias("part"), "mins", "sketch")
-    near = cut(candidates(signed_reps, parts))
-    pairs = near.filter("a < b")
-    found = components(confirm(docs, pairs.select("a", "b"), parts))
-    # Dense regions once more, for pairs that no link connects yet.
-    dense = pairs.filter("dense").select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    again = signed_reps.join(dense, F.col("rep") == F.col("x"), "left_semi").join(found, F.col("rep") == F.col("node"), "left")
-    again = cut(again.select("rep", F.coalesce("component", "rep").alias("part"), "mins", "sketch"))
-    more = candidates(again, parts, MORE_TREES, MORE_DEPTH, True).join(pairs, ["a", "b"], "left_anti").select("a", "b")
-    apart = cut(likely(docs, cut(more), again))
-    if not apart.isEmpty():
-        found = components(confirm(docs, apart, parts).union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
-    # What crowding may have hidden, exactly.
-    crowd = signed_reps.select("rep").distinct().join(near.filter("a = b").select("a"), F.col("rep") == F.col("a"), "left_semi")
+    near = cut(candidates(classes, parts))
+    found = components(confirm(docs, near.filter("a < b").select("a", "b"), parts))
+    # What adapting to crowded regions may have hidden, exactly.
+    crowd = near.filter("crowd").select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     crowd = cut(crowd.join(found, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("component", "rep").alias("part")))
     if not crowd.isEmpty():
         rest = cut(remainder(docs, crowd, parts))
         if not rest.isEmpty():
             found = components(confirm(docs, rest, parts).union(found.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+        release(rest)
+    release(near, crowd)
     roots = classes.select("f1", "f2", F.col("n_shingles").alias("n"), "rep").join(found, F.col("rep") == F.col("node"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), "n", F.coalesce("component", "rep").alias("root"))
     joined = signed.select("doc_id", "n_shingles", "f1", "f2").join(roots, (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")) & (F.col("n_shingles") == F.col("n")), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
