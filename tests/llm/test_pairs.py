@@ -221,26 +221,68 @@ def test_lines_of_odd_documents(odd, empty, spark, folder):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def texts_of(spark, texts):
+    return spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "key long, line string, size int")
+
+
+def test_lines_of_long_lists(spark):
+    """The finer join alone, with groups that are cut down to single characters, against all pairs."""
+    r = random.Random(5)
+    bases = ["".join(r.choice("abé ") for _ in range(n)) for n in (40, 41, 64, 65, 90, 130)]
+    texts = sorted({edited(r, r.choice(bases), r.randrange(4)) for _ in range(150)} | {"a" * n for n in range(40, 50)} | {f"Invoice number {i:04d} was paid on the first day of may" for i in range(40)})
+    near = {(i, j) for i, a in enumerate(texts) for j in range(i + 1, len(texts)) if abs(len(a) - len(texts[j])) <= 2 and distance(a, texts[j]) <= 2}
+    had, lines.FEW = lines.FEW, 2
+    try:
+        got = {(x.a, x.b) for x in lines.two_edits(texts_of(spark, texts)).collect()}
+    finally:
+        lines.FEW = had
+    assert near <= got and len(near) > 500
+    short = sorted({edited(r, b, r.randrange(3)) for b in ("".join(r.choice("abé ") for _ in range(n)) for n in (20, 30, 39)) for _ in range(40)})
+    near = {(i, j) for i, a in enumerate(short) for j in range(i + 1, len(short)) if abs(len(a) - len(short[j])) <= 1 and distance(a, short[j]) <= 1}
+    assert {(x.a, x.b) for x in lines.one_edit(texts_of(spark, short)).collect()} == near and near
+
+
+def test_lines_of_a_template(spark):
+    """Lines that differ in a number only: candidates stay near the links and the lines, not all pairs, and no link is lost."""
+    for n in (1500, 4000):
+        texts = [f"Invoice number {i * 7919 % 1000003:06d} was paid on the first day of may" for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        assert lines.candidates(lines.different(docs)).filter("a is not null").count() <= lines.HOT * n
+        numbers = np.array([[int(c) for c in t[15:21]] for t in texts])
+        # Links by substitutions; moved digits make some more.
+        links = sum(((numbers[i + 1 :] != numbers[i]).sum(axis=1) <= 2).sum() for i in range(n))
+        if n < 2000:
+            assert links <= lines.links(docs).count() <= 1.5 * links
+        else:
+            assert lines.two_edits(texts_of(spark, texts)).count() <= 8 * (links + n)
+
+
 def test_lines_use_no_python(spark):
     plan = lines.links(spark.createDataFrame([(1, "a" * 50)], SCHEMA.split(", lang")[0]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_neighbours_stay_inside_trees():
-    rep = np.arange(4)
     raw = np.zeros((4, 4 * neardup.DEPTH + neardup.SKETCH), np.uint8)
-    a, b, _ = neardup._pairs(rep, rep, np.array([0, 0, 1, 1]), raw, neardup.DEPTH, neardup.ALIKE)
-    assert list(zip(a.tolist(), b.tolist())) == [(0, 1), (2, 3)]
+    a, b, crowd = neardup._pairs(np.arange(4), np.array([0, 0, 1, 1]), raw)
+    assert list(zip(a.tolist(), b.tolist())) == [(0, 1), (2, 3)] and not crowd.any()
+
+
+def test_depth_adapts_to_the_region():
+    """Of 60 documents that share 3 values, in runs of 20 that share all 4, each meets all of its own run."""
+    rep, raw = np.arange(60), np.zeros((60, 4 * neardup.DEPTH + neardup.SKETCH), np.uint8)
+    raw[:, 4 * neardup.DEPTH - 1] = rep // 20
+    a, b, crowd = neardup._pairs(rep, np.zeros(60, int), raw)
+    assert set(zip(a.tolist(), b.tolist())) == {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 20 == j // 20} and crowd.all()
 
 
-def test_runs_within_crowded_prefixes():
-    """Of 60 documents that share 3 values, or all 4, each meets all 20 of its own run."""
-    rep = np.arange(60)
-    for column in (4 * neardup.DEPTH - 1, 4 * neardup.DEPTH):
-        raw = np.zeros((60, 4 * neardup.DEPTH + neardup.SKETCH), np.uint8)
-        raw[:, column] = rep // 20
-        a, b, _ = neardup._pairs(rep, rep, np.zeros(60, int), raw, neardup.DEPTH, neardup.ALIKE)
-        assert {(i, j) for i in range(60) for j in range(i + 1, 60) if i // 20 == j // 20} <= set(zip(a.tolist(), b.tolist()))
+def test_crowded_prefixes_give_linear_pairs():
+    """Each of 500 documents that share whole prefixes meets the one whose sketch is most alike, and is known to be crowded."""
+    rep, raw = np.arange(500), np.zeros((500, 4 * neardup.DEPTH + neardup.SKETCH), np.uint8)
+    raw[:, 4 * neardup.DEPTH :] = np.repeat(np.arange(250), 2)[:, None] % 200
+    raw[:, -1] = rep % 2
+    a, b, crowd = neardup._pairs(rep, np.zeros(500, int), raw)
+    assert {(2 * i, 2 * i + 1) for i in range(250)} <= set(zip(a.tolist(), b.tolist())) and len(a) <= 500 and crowd.all()
 
 
 def crowd_of_boilerplate(n_docs, n_planted):
@@ -256,6 +298,33 @@ def test_links_within_a_crowd(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i if i < 2000 else (i - 2000) * 7 for i in range(2040)}
 
 
+def test_large_groups_of_near_copies(spark):
+    """Groups of 300 and of 3,000 copies of one text, each with some words of its own: similarities lie on both sides of the limit."""
+    r, docs, sets = random.Random(12), [], []
+    for g, n in enumerate((300, 3000)):
+        for k in range(n):
+            own = [f"g{g}_{j}" for j in range(120)]
+            for _ in range(r.choice([0, 1, 2, 3, 3, 4, 5])):
+                own[r.randrange(120)] = f"x{len(docs)}_{r.randrange(10**6)}"
+            docs.append((len(docs), " ".join(own)))
+            sets.append([g * 116 + j for j in range(116) if all(w.startswith("g") for w in own[j : j + 5])])
+    has = np.zeros((len(docs), 232), np.float32)
+    for i, own in enumerate(sets):
+        has[i, own] = 1
+    # Shingles with an own word are in one text only.
+    common = has @ has.T
+    linked = 100 * common >= 75 * (2 * 116 - common)
+    root = np.arange(len(docs))
+    while True:
+        least = np.where(linked, root[None, :], len(docs)).min(axis=1)
+        least = np.minimum(least, root)
+        if (least == root).all():
+            break
+        root = least
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.component_id for x in got} == dict(enumerate(root.tolist())) and len(set(root.tolist())) > 20
+
+
 def test_remainder_is_exact(spark):
     """No link is missed, blocks and classes of sizes included."""
     docs = copies() + [(1000 + i, t) for i, t in crowd_of_boilerplate(60, 8)]
