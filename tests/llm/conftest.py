@@ -45,6 +45,6 @@ def clashing(df):
     """df with columns named like those that operators add."""
     from pyspark.sql import functions as F
 
-    for c in ("size", "target", "taken", "score", "languages", "kept", "line", "key", "first", "unit", "data", "open", "host", "path", "n_words"):
+    for c in ("size", "target", "taken", "score", "languages", "kept", "line", "key", "first", "unit", "data", "open", "host", "path", "n_words", "row", "all", "others", "id", "gone", "stays", "of", "part", "range", "h", "_w", "_h", "_s", "_p", "_id", "_kept", "_suffix", "unit", "odd.name"):
         df = df.withColumn(c, F.lit("x"))
     return df

@@ -1,7 +1,7 @@
 from collections import Counter
 
 from conftest import DATA
-from llm.conftest import LONG
+from llm.conftest import LONG, clashing
 from llm.test_pairs import brute_components, brute_lines
 from llm.test_rows import WORDS, brute_targets
 
@@ -59,7 +59,7 @@ def test_run(spark):
 
 
 def test_odd_documents(spark, odd, empty, tmp_path):
-    for k, start in enumerate((odd, empty)):
+    for k, start in enumerate((clashing(odd), clashing(empty))):
         docs = start
         for name, stage in pipeline.STAGES:
             stage(spark, docs, "").write.parquet(f"{tmp_path}/{k}/{name}")

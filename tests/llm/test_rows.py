@@ -192,10 +192,22 @@ def test_water_filling_rounds(spark):
 def test_mixing_odd_documents(odd, empty):
     got = mixing.mix(clashing(odd))
     assert got.count() == 10 and {"host", "whole"} <= set(got.columns)
-    assert mixing.realize(got).columns == [c for c in clashing(odd).columns if c not in ("size", "target", "taken")]
+    assert mixing.realize(got).columns == [c for c in clashing(odd).columns if c not in mixing.ADDED]
     assert mixing.mix(empty).count() == 0
 
 
+def test_parts_are_prefixes(spark):
+    """A part keeps line feeds and spacing, and ends with its last word."""
+    text = " a\n\nb  c\td\x0b e f \n"
+    df = spark.createDataFrame([(t, n) for t in (text, text.strip()) for n in range(1, 7)], "text string, n int")
+    for t, n, first in df.select("text", "n", mixing.first_words(F.col("text"), F.col("n"))).collect():
+        assert t.startswith(first) and WORDS.findall(first) == WORDS.findall(t)[:n] and first.endswith("abcdef"[n - 1])
+    docs = spark.createDataFrame([(i, text * (1 + i % 3), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    rows = mixing.realize(mixing.mix(docs, weights=(3, 7))).collect()
+    assert all(whole[r.doc_id].startswith(r.text) for r in rows) and sum(whole[r.doc_id] != r.text for r in rows) in (1, 2)
+
+
 # ---------------------------------------------------------------- URLs
 
 
@@ -294,6 +306,40 @@ def test_more_than_three_languages(spark):
     assert main[0] == "l0" and abs(main[1] - 0.2) < 0.05 and sum(p for _, p in alone) < 0.2
 
 
+def test_proportions_against_plain_expectation_maximisation():
+    """For a fixed set of languages, against a loop over words; and the set, against all sets."""
+    from itertools import combinations
+
+    r = np.random.default_rng(3)
+    model = langid.Model(list("abc"), r.integers(0, 30, (langid.BUCKETS, 3)).astype(float))
+    speak = [f"w{x}" for x in "qwertzuiop"]
+    texts = [" ".join(r.choice(["".join(r.choice(list("abcdefgh"), 5)) for _ in range(6)] + [speak[i][1:] * 4], n)) for i, n in enumerate((1, 5, 30, 200))]
+
+    def plain(p, shares):
+        for _ in range(langid.ROUNDS):
+            new = [sum(s * x / sum(a * b for a, b in zip(shares, w)) for w in p for x in [w[k]]) / len(p) for k, s in enumerate(shares)]
+            moved, shares = max(abs(a - b) for a, b in zip(new, shares)), new
+            if moved <= langid.STEADY:
+                break
+        return shares, sum(np.log(sum(a * b for a, b in zip(shares, w))) for w in p)
+
+    for text in texts:
+        words_, which, _ = langid.split(pa.array([text]))
+        bucket, word, _ = langid.trigrams(words_)
+        log = np.concatenate([model.log, np.full((langid.BUCKETS, 1), model.background)], axis=1).astype(float)
+        score = np.stack([log[bucket[word == i]].sum(axis=0) for i in range(len(words_))])
+        p = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -60))[which] + 1e-12
+        for m in (2, 3):
+            got, fit = langid.Model._shares(p[:, :m].astype(np.float32), np.array([0]), np.array([len(p)]), np.full((1, m), 1 / m, np.float32))
+            want, want_fit = plain(p[:, :m].tolist(), [1 / m] * m)
+            assert np.abs(got[0] - want).max() < 5e-3 and abs(fit[0] - want_fit) < 0.05
+        best = max((plain(p[:, c].tolist(), [1 / m] * m)[1] - 0.5 * m * np.log(max(2, len(p))) for m in range(1, 5) for c in combinations(range(4), m)))
+        (found,) = model.predict(pa.array([text]))
+        chosen = [model.languages.index(x) for x, _ in found] + ([3] if sum(s for _, s in found) < 1 - 1e-6 or not found else [])
+        own = plain(p[:, chosen].tolist(), [1 / len(chosen)] * len(chosen))[1] - 0.5 * len(chosen) * np.log(max(2, len(p)))
+        assert own > best - 1
+
+
 def test_long_text_is_whole(spark, odd):
     r = next(r for r in quality.with_features(odd.filter("doc_id = 4")).collect())
     assert r.n_words == 30_000 == len(LONG.split())

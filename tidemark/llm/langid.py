@@ -5,7 +5,7 @@ counted in labelled documents. A document is a mixture over its words, of all le
 background in which all trigrams are alike, for words of no learned language. Its set starts with the best
 single one; the one that promises the largest gain is added as long as the likelihood, less half a logarithm
 of the number of words for each (the Bayesian information criterion), improves. Expectation maximisation
-estimates the proportions. They are of all words with a letter, so those of the languages add up to less
+estimates the proportions, until none of a document's moves by more than `STEADY`. They are of all words with a letter, so those of the languages add up to less
 than 1 where the background has a share.
 
 Learning takes a bounded sample of at most `SAMPLE` labelled documents, whole texts, and gives one table
@@ -14,7 +14,8 @@ of counts, of at most `BUCKETS` rows for each language; that table is broadcast.
 Edge cases: a null text, one without a letter, or one that the background alone explains, is `und` with
 score 0 and no languages, as is every text where nothing could be learned; long texts are whole; ties go to the first language by name;
 repeated rows get equal results; an empty table gives an empty result; other columns stay, except that
-languages, lang_pred and score are replaced.
+languages, lang_pred and score are replaced. A text of words of one likelihood in all languages takes
+`ROUNDS` rounds at most.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_ids, table
+from .common import bounded_ids, columns, table
 from .packing import chunks
 
 SAMPLE = 20_000
 BUCKETS = 1 << 17
-ROUNDS = 8
+#: Expectation maximisation ends when no proportion moves by more in a round, or after so many rounds.
+STEADY, ROUNDS = 1e-3, 200
 UNKNOWN = "und"
 
 
@@ -68,7 +70,7 @@ def split(texts: pa.Array):
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray):
         """counts: BUCKETS rows, a column for each language."""
-        self.languages = languages
+        self.languages, self.counts = languages, counts
         total = counts.sum(axis=0)
         self.log = np.log((counts + 0.1) / (total + 0.1 * BUCKETS)).astype(np.float32)
         #: Of a trigram in the background.
@@ -131,10 +133,20 @@ class Model:
     @staticmethod
     def _shares(p, there, n, shares):
         """Expectation maximisation from shares; the proportions and the log likelihood."""
-        for _ in range(ROUNDS):
-            r = p * np.repeat(shares, n, axis=0)
+        shares = shares.astype(np.float32)
+        # Documents that still move, their words, and where each one's begin.
+        left, q, sizes, begin = np.arange(len(n)), p, n, there
+        for k in range(ROUNDS):
+            r = q * np.repeat(shares[left], sizes, axis=0)
             r /= r.sum(axis=1, keepdims=True)
-            shares = np.add.reduceat(r, there, axis=0) / n[:, None].astype(np.float32)
+            new = np.add.reduceat(r, begin, axis=0) / sizes[:, None].astype(np.float32)
+            moves = np.abs(new - shares[left]).max(axis=1) > STEADY
+            shares[left] = new
+            if not moves.any():
+                break
+            if k % 4 == 3 and not moves.all():
+                left, q, sizes = left[moves], q[np.repeat(moves, sizes)], sizes[moves]
+                begin = np.cumsum(sizes) - sizes
         fit = np.add.reduceat(np.log((p * np.repeat(shares, n, axis=0)).sum(axis=1, dtype=np.float64) + 1e-30), there)
         return shares, fit
 
@@ -176,11 +188,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     added = ("languages", "lang_pred", "score")
     kept = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([*kept, *T._parse_datatype_string("languages array<struct<lang: string, proportion: double>>, lang_pred string, score double").fields])
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # Arrays alone are broadcast, as the class itself travels with the task.
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.counts))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("proportion", pa.float64())]))
 
     def run(batches):
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             for part in chunks(batch, text):
                 found = m.predict(part.column(text))
@@ -191,7 +204,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *own], [f.name for f in schema.fields])
 
-    return docs.select(*[f.name for f in kept]).mapInArrow(run, schema)
+    return docs.select(*columns(docs, added)).mapInArrow(run, schema)
 
 
 def held_out(doc_id=None):
