@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, bounded_ids, cut, table, words
+from .common import SPACES, as_row, bounded_ids, cut, of_row, table, words
 
 #: Labelled documents that are learned from, at most.
 SAMPLE = 20_000
@@ -37,8 +37,8 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    first = docs.select(
-        *[c for c in docs.columns if c not in FEATURES],
+    first = as_row(
+        docs,
         words(F.col(text)).alias("_w"),
         F.length(F.translate(t, SPACES, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
@@ -69,8 +69,7 @@ def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")
     )
     # A generator, as filters on the features must not be pushed into the steps above: each would be copied where it is used.
-    kept = [c for c in docs.columns if c not in FEATURES]
-    return counted.select(*kept, F.inline(F.array(F.struct(*FEATURES))))
+    return counted.select(*of_row(docs, FEATURES), F.inline(F.array(F.struct(*FEATURES))))
 
 
 def _repeated_places(h: Column) -> Column:

@@ -5,7 +5,7 @@ equal windows of 13 words share an anchor of 7 words that is aligned in both, be
 two positions for every difference modulo 7. Only anchors are hashed and shuffled for all text; where an
 anchor is found again, matches are extended to whole windows, whose smallest document is then settled.
 
-The flow is one query: texts are dealt to units by a hash of doc_id (that exchange is used three times),
+The flow is one query: texts are dealt to units of about `UNIT_BYTES` by a hash (that exchange is used three times),
 units send each different anchor once, as four bytes to a bucket by its hash, and get a bit back for it;
 they send each different window near a repeated anchor once, with its smallest doc_id, and get the
 smallest of all back. What many documents share is so merged in each unit first, and no task's input
@@ -33,6 +33,8 @@ from .packing import chunks
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
+#: Bytes of text in a unit, about; tasks hold one unit at a time.
+UNIT_BYTES = 16 << 20
 PAYLOAD = "unit int, bucket int, data binary"
 ARROW = pa.schema([("unit", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary())])
 NEVER = np.int64(2**63 - 1)
@@ -140,10 +142,11 @@ WINDOW_ROW = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<i8"), ("more", "u1"
 def remove_repeats(docs: DataFrame, partitions: int | None = None, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (spans of words: start, length); with text also the kept words, joined by a space."""
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units, buckets = 3 * parts, parts
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units, buckets = max(3 * parts, size // UNIT_BYTES), parts
     texts = (
         docs.select("doc_id", "text")
-        .withColumn("unit", F.pmod(F.xxhash64("doc_id"), F.lit(units)).cast("int"))
+        .withColumn("unit", F.pmod(F.xxhash64("doc_id", "text"), F.lit(units)).cast("int"))
         .repartition(parts, "unit")
     )
 

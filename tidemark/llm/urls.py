@@ -10,7 +10,8 @@ or two labels (for training, from the other half of the sample).
 
 Edge cases: a null URL, or one without `://`, has an empty host and path and is judged by the trees; if
 the labels are of one kind or missing, all others get that kind, or are allowed; ties and repeated rows
-are judged alike; long URLs are whole; an empty table gives an empty result; further columns stay.
+are judged alike; long URLs are whole; an empty table gives an empty result; further columns stay, whatever
+their names, except that host, path, rule, verdict and method_verdict are replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_ids, cut, table
+from .common import as_row, bounded_ids, cut, of_row, table
 
 SAMPLE = 10_000
 ALLOW, BLOCK = "allow", "block"
@@ -151,10 +152,11 @@ class Filter:
 
 def filter_urls(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """pages with host, path, rule, verdict and method_verdict (what the trees say of every URL)."""
-    parts = with_rule(with_parts(pages), rules)
+    added = ("host", "path", "rule", "verdict", "method_verdict")
+    parts = with_rule(with_parts(as_row(pages, "page_id", "url")), rules)
     labelled = parts.filter(F.col("rule").isNotNull()).select("page_id", "url", "host", "path", (F.col("verdict") == BLOCK).cast("int").alias("label"))
     judged = Filter(labelled, sample).judge(parts)
-    return judged.withColumn("verdict", F.coalesce("verdict", "method_verdict"))
+    return judged.withColumn("verdict", F.coalesce("verdict", "method_verdict")).select(*of_row(pages, added), *added)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
