@@ -11,6 +11,7 @@ Stages 1 to 4 return the columns of documents. Each works on all that its predec
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,24 +22,42 @@ from tidemark.llm.common import cut, shared_folder, table
 
 #: Below this share of words the main language is no reason to keep a document. Words of no learned language count too.
 LEAST_SHARE = 1 / 3
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keeping(stage):
+    """The stage on the columns of documents, others put away in one, so that no name of theirs can clash."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        away = [F.struct(*[F.col(f"`{c}`") for c in others]).alias("others")] if others else []
+        out = stage(spark, docs.select(*[c for c in docs.columns if c in COLUMNS], *away), sf_dir)
+        return out.select(*[F.col(f"others.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
+
+    return run
+
+
+@keeping
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = langid.identify(docs, langid.learn(docs))
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
 
 
+@keeping
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
+@keeping
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    kept = neardup.near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+@keeping
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.realize(mixing.mix(docs)).select(*docs.columns)
+    return mixing.realize(mixing.mix(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,10 +73,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each but the last written to the shared folder and read again."""
+    """All stages, each but the last written to the shared folder and read again; a stage's files go once the next is written."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    return cut(STAGES[-1][1](spark, docs, sf_dir))
+        if before:
+            store.delete(path(before), True)
+        before = f"{folder}/{name}"
+    packed = cut(STAGES[-1][1](spark, docs, sf_dir))
+    store.delete(path(folder), True)
+    return packed
