@@ -281,12 +281,27 @@ def _held_sets(part: pa.RecordBatch):
     return np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), sizes
 
 
+TALLY = np.dtype([("bucket", "<u4"), ("n", "<i8"), ("low", "<i8"), ("high", "<i8")])
+#: Buckets are summed in so many groups; a task sends a row for each.
+TALLY_GROUPS = 64
+
+
 def tally(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each bucket of shingles how many there are, and whether documents of different parts hold them. held: text, rep, part."""
+    size = 1 << TALLY_BITS
+    none = (np.iinfo(np.int64).max, np.iinfo(np.int64).min)
+
+    def rows(n, low, high):
+        there = np.flatnonzero(n)
+        out = np.empty(len(there), TALLY)
+        out["bucket"], out["n"], out["low"], out["high"] = there, n[there], low[there], high[there]
+        cuts = np.searchsorted(there, np.arange(TALLY_GROUPS + 1) * (size // TALLY_GROUPS))
+        groups = [g for g in range(TALLY_GROUPS) if cuts[g] < cuts[g + 1]]
+        data = [out[cuts[g] : cuts[g + 1]].tobytes() for g in groups]
+        yield pa.RecordBatch.from_arrays([pa.array(groups, pa.int32()), pa.array(data, pa.binary())], ["group", "data"])
 
     def count(batches):
-        n = np.zeros(1 << TALLY_BITS, np.int32)
-        low, high = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), np.iinfo(np.int64).min)
+        n, low, high = np.zeros(size, np.int64), np.full(size, none[0]), np.full(size, none[1])
         for batch in batches:
             for slice_ in chunks(batch, most=1 << 20):
                 every, row, _ = _held_sets(slice_)
@@ -295,15 +310,23 @@ def tally(held: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 np.add.at(n, bucket, 1)
                 np.minimum.at(low, bucket, part)
                 np.maximum.at(high, bucket, part)
-        there = np.flatnonzero(n)
-        for k in range(0, len(there), 1 << 16):
-            at = there[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64)), pa.array(low[at]), pa.array(high[at])], ["bucket", "n", "low", "high"])
-
-    rows = held.mapInArrow(count, "bucket int, n long, low long, high long").groupBy("bucket").agg(F.sum("n").alias("n"), (F.min("low") < F.max("high")).alias("mixed")).toArrow()
-    n, mixed = np.zeros(1 << TALLY_BITS, np.int64), np.zeros(1 << TALLY_BITS, bool)
-    at = rows.column("bucket").to_numpy()
-    n[at], mixed[at] = rows.column("n").to_numpy(), rows.column("mixed").to_numpy(zero_copy_only=False)
+        yield from rows(n, low, high)
+
+    def add(batches):
+        n, low, high = np.zeros(size, np.int64), np.full(size, none[0]), np.full(size, none[1])
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                x = np.frombuffer(data, TALLY)
+                at = x["bucket"]
+                n[at] += x["n"]
+                low[at], high[at] = np.minimum(low[at], x["low"]), np.maximum(high[at], x["high"])
+        yield from rows(n, low, high)
+
+    schema = "group int, data binary"
+    summed = held.mapInArrow(count, schema).repartition(TALLY_GROUPS, "group").mapInArrow(add, schema).toArrow()
+    every = np.frombuffer(b"".join(summed.column("data").to_pylist()), TALLY)
+    n, mixed = np.zeros(size, np.int64), np.zeros(size, bool)
+    n[every["bucket"]], mixed[every["bucket"]] = every["n"], every["low"] < every["high"]
     return n, mixed
 
 
