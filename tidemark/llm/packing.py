@@ -31,7 +31,7 @@ WINDOW = 4096
 #: Windows that a partition keeps open.
 OPEN = 64
 #: Partitions whose leftovers are merged in one task: at most OPEN * GROUP windows.
-GROUP = 16
+GROUP = 4
 #: Bytes of text that are tokenized at once.
 CHUNK = 1 << 20
 END = 2
@@ -279,9 +279,10 @@ def pack(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, end: int
         yield from _batches(rows(), ARROW)
 
     first = cut(docs.select("doc_id", "text").mapInArrow(online, SCHEMA))
-    leftover = first.filter("open").withColumn("bin", F.expr(f"shiftright(sequence_id, 32) div {GROUP}"))
+    leftover = first.filter("open").withColumn("bin", F.expr(f"cast(shiftright(sequence_id, 32) div {GROUP} as int)"))
     groups = max(1, -(-first.rdd.getNumPartitions() // GROUP))
-    merge = leftover.repartition(groups, "bin").sortWithinPartitions("bin").mapInArrow(merged, SCHEMA)
+    # A bin is a partition of its own.
+    merge = leftover.repartitionById(groups, F.col("bin")).mapInArrow(merged, SCHEMA)
     return first.filter("not open").unionByName(merge).drop("open", *([] if keep_ids else ["ids"]))
 
 
