@@ -187,7 +187,10 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with languages (lang and proportion, the largest first), lang_pred and score (its proportion)."""
     added = ("languages", "lang_pred", "score")
     kept = [f for f in docs.schema.fields if f.name not in added]
-    schema = T.StructType([*kept, *T._parse_datatype_string("languages array<struct<lang: string, proportion: double>>, lang_pred string, score double").fields])
+    # Numbered names inside, as names with a dot can't be passed on.
+    inner = [f"c{i}" for i in range(len(kept))]
+    text_at = inner[[f.name for f in kept].index(text)]
+    schema = T.StructType([*[T.StructField(c, f.dataType, f.nullable) for c, f in zip(inner, kept)], *T._parse_datatype_string("languages array<struct<lang: string, proportion: double>>, lang_pred string, score double").fields])
     # Arrays alone are broadcast, as the class itself travels with the task.
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.counts))
     kind = pa.list_(pa.struct([("lang", pa.string()), ("proportion", pa.float64())]))
@@ -195,16 +198,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         m = Model(*shared.value)
         for batch in batches:
-            for part in chunks(batch, text):
-                found = m.predict(part.column(text))
+            for part in chunks(batch, text_at):
+                found = m.predict(part.column(text_at))
                 own = [
                     pa.array([[{"lang": lang, "proportion": p} for lang, p in x] for x in found], kind),
                     pa.array([x[0][0] if x else UNKNOWN for x in found], pa.string()),
                     pa.array([min(1.0, x[0][1]) if x else 0.0 for x in found], pa.float64()),
                 ]
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in kept], *own], [f.name for f in schema.fields])
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in inner], *own], [f.name for f in schema.fields])
 
-    return docs.select(*columns(docs, added)).mapInArrow(run, schema)
+    numbered = docs.select(*[c.alias(n) for c, n in zip(columns(docs, added), inner)])
+    return numbered.mapInArrow(run, schema).toDF(*[f.name for f in kept], *added)
 
 
 def held_out(doc_id=None):
