@@ -65,3 +65,42 @@ def uuid7(millis: int, random: bytes | None = None) -> str:
     r = int.from_bytes(random or os.urandom(10), "big")
     n = (millis & (1 << 48) - 1) << 80 | 7 << 76 | (r >> 68 & 0xFFF) << 64 | 0b10 << 62 | r & (1 << 62) - 1
     return str(uuid.UUID(int=n))
+
+
+def ulid_of(millis: Column, high: Column, low: Column) -> Column:
+    """A column of ULIDs: 48 bits of time, then the low 40 bits of two numbers, which random_40() gives."""
+    letter = lambda x, i: F.substr(F.lit(CROCKFORD), F.shiftright(x, 5 * i).bitwiseAND(F.lit(31).cast("long")).cast("int") + 1, F.lit(1))
+    ok = F.when((millis >= 0) & (millis < 1 << 48), millis).otherwise(F.raise_error(F.lit("a ULID's time has 48 bits")))
+    return F.concat(*[letter(ok, i) for i in range(9, -1, -1)], *[letter(x, i) for x in (high, low) for i in range(7, -1, -1)])
+
+
+def random_40() -> Column:
+    return F.floor(F.rand() * float(1 << 40)).cast("long")
+
+
+def uuid7_of(millis: Column, high: Column, low: Column) -> Column:
+    """A column of time-ordered ids: 48 bits of time, 12 bits of high, 62 bits of low."""
+    digits = lambda x, n: F.lpad(F.lower(F.hex(x)), n, "0")
+    long = lambda v: F.lit(v).cast("long")
+    head = digits(millis.bitwiseAND(long((1 << 48) - 1)), 12)
+    tail = digits(low.bitwiseAND(long((1 << 62) - 1)).bitwiseOR(long(-(1 << 63))), 16)
+    return F.concat_ws("-", F.left(head, F.lit(8)), F.right(head, F.lit(4)), F.concat(F.lit("7"), digits(high.bitwiseAND(long(0xFFF)), 3)), F.left(tail, F.lit(4)), F.right(tail, F.lit(12)))
+
+
+def uuid4() -> Column:
+    """Random ids with the bits of version 4."""
+    return F.uuid()
+
+
+#: From the least to the most severe. Fixed values.
+LEVELS = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR")
+
+
+def at_least(level: Column, least: str = "INFO") -> Column:
+    """Whether a log line of this level is kept."""
+    return level.isin(*LEVELS[LEVELS.index(least) :])
+
+
+def log_json(level: Column, ts: Column, message: Column, **fields: Column) -> Column:
+    """A log line as one JSON object."""
+    return F.to_json(F.struct(level.alias("level"), F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), message.alias("message"), *[c.alias(k) for k, c in fields.items()]))

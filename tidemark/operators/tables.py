@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import number_rows
+from .common import number_rows, running_sums
 
 
 def append(table: DataFrame, rows: DataFrame) -> DataFrame:
@@ -56,20 +56,36 @@ def with_lineage(rows: DataFrame, order: Sequence[Column | str], first_id: int,
 
 
 def slice_bounds(rows: DataFrame, key: str, n: int, by: Sequence[str] = ()) -> DataFrame:
-    """Half-open bounds [lo, hi) of n slices of the different keys in each partition; the last has no hi."""
-    keys = rows.select(*by, key).distinct()
-    tiles = keys.withColumn("slice", F.ntile(n).over(Window.partitionBy(*by).orderBy(key)))
-    lows = tiles.groupBy(*by, "slice").agg(F.min(key).alias("lo"))
-    return lows.withColumn("hi", F.lead("lo").over(Window.partitionBy(*by).orderBy("slice")))
+    """Half-open bounds [lo, hi) of n slices of the different keys in each partition, even but for one key; the last has no hi.
+
+    Keys are numbered over range partitions, so no task holds a partition's keys.
+    """
+    keys = number_rows(rows.select(*by, key).distinct(), *by, key, name="_n")
+    span = keys.groupBy(*by).agg(F.min("_n").alias("_from"), F.count("*").alias("_keys"))
+    named = span.select(*[F.col(c).alias(f"_{c}") for c in by], "_from", "_keys")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    r, size, longer = F.col("_n") - F.col("_from"), F.floor(F.col("_keys") / n), F.col("_keys") % n
+    tile = F.when(r < longer * (size + 1), F.floor(r / (size + 1))).otherwise(longer + F.floor((r - longer * (size + 1)) / F.greatest(size, F.lit(1))))
+    lows = keys.join(named, same).groupBy(*by, (tile + 1).cast("int").alias("slice")).agg(F.min(key).alias("lo"))
+    return lows.withColumn("hi", F.lead("lo").over(Window.partitionBy(*by).orderBy("slice")))  # n rows for each partition
 
 
 def assign_slices(rows: DataFrame, bounds: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
-    """rows with their slice. bounds are a few rows for each partition."""
-    b = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], "slice", "lo", "hi")
-    on = (F.col(key) >= F.col("lo")) & (F.col("hi").isNull() | (F.col(key) < F.col("hi")))
-    for c in by:
-        on = (F.col(c) == F.col(f"_{c}")) & on
-    return rows.join(b, on).drop("lo", "hi", *[f"_{c}" for c in by])
+    """rows with their slice: as many as there are lower bounds up to the key. bounds: a few rows for each partition, gathered in one."""
+    los = bounds.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.sort_array(F.collect_list("lo")).alias("_los"))
+    slice_ = F.size(F.filter("_los", lambda lo: lo <= F.col(key)))
+    if by:
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        joined = rows.join(los, same)
+    else:
+        # One row of n numbers.
+        first = los.first()
+        joined = rows.withColumn("_los", F.array(*[F.lit(x) for x in (first._los if first else [])]))
+    return joined.withColumn("slice", slice_).filter("slice > 0").drop("_los", *[f"_{c}" for c in by])
 
 
 def slice_stats(assigned: DataFrame, key: str, by: Sequence[str] = ()) -> DataFrame:
@@ -81,19 +97,41 @@ def split_decision(stats: DataFrame, most: int) -> DataFrame:
 
 
 def merge_small(stats: DataFrame, most: int, by: Sequence[str] = ()) -> DataFrame:
-    """Neighbouring slices as one while their rows stay within bins of `most`: adds merged."""
-    w = Window.partitionBy(*by).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n_rows").over(w), F.lit(0))
-    return stats.withColumn("merged", F.floor(before / most).cast("long"))
+    """Neighbouring slices as one while they have `most` rows at most together: adds merged, from 0. A larger slice stays alone.
+
+    The few slices of a partition are gathered in one row and taken in order.
+    """
+    listed = stats.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("slice", F.struct(*[c for c in stats.columns if c not in (*by, "slice")]).alias("rest")))).alias("all"))
+    start = F.struct(F.array().cast("array<bigint>").alias("bins"), F.lit(-1).cast("long").alias("bin"), F.lit(0).cast("long").alias("rows"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = (s.bin >= 0) & (s.rows + x.rest.n_rows <= most)
+        bin_ = F.when(fits, s.bin).otherwise(s.bin + 1)
+        return F.struct(F.array_append(s.bins, bin_).alias("bins"), bin_.alias("bin"), (F.when(fits, s.rows).otherwise(F.lit(0).cast("long")) + x.rest.n_rows).alias("rows"))
+
+    binned = listed.withColumn("bins", F.aggregate("all", start, step, lambda s: s.bins))
+    flat = binned.select(*by, F.explode(F.arrays_zip("all", "bins")).alias("x"))
+    return flat.select(*by, "x.all.slice", "x.all.rest.*", F.col("x.bins").alias("merged"))
 
 
 # ---------------------------------------------------------------- files
 
 
 def compaction_plan(files: DataFrame, order: str, size: str, target: int, by: Sequence[str] = ()) -> DataFrame:
-    """Bins of about target size by cumulative size in order, in each partition `by`. files: one row for each file."""
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("bin", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / target).cast("long"))
+    """Bins of about target size (more by a part of one file at most) by cumulative size in order, in each partition `by`.
+
+    files: one row for each file. Sums run over range partitions, so no task holds all files.
+    """
+    summed = running_sums(files, [*by, order], {"_upto": F.col(size)})
+    if by:
+        first = summed.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.min(F.col("_upto") - F.col(size)).alias("_start"))
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        summed = summed.join(first, same).drop(*[f"_{c}" for c in by])
+    else:
+        summed = summed.withColumn("_start", F.lit(0))
+    return summed.withColumn("bin", F.floor((F.col("_upto") - F.col(size) - F.col("_start")) / target).cast("long")).drop("_upto", "_start")
 
 
 def file_stats(rows: DataFrame, file: Column | str, columns: Sequence[str]) -> DataFrame:

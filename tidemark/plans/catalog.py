@@ -8,9 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import uuid
+
 from ..functions import core
 from ..operators import queue, tables
-from ..operators.common import number_rows
+from ..operators.common import cut, number_rows, shared_folder
+from ..sources import manifest
+from ..sources.lake import Lake, Table
 
 NOW = "2024-01-03 00:00:00"
 
@@ -127,7 +131,7 @@ def validate_split(spark, sf_dir):
 
 def tenant_isolation(spark, sf_dir):
     o, c = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
-    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).filter("c_nationkey < 5")
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
     return joined.groupBy("c_nationkey").agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("min_order"))
 
 
@@ -171,13 +175,41 @@ def lease_expiry(spark, sf_dir):
 
 
 def queue_ack(spark, sf_dir):
+    """Acknowledgements of every other task, twice by each of two workers."""
     acks = _read(spark, sf_dir, "events").filter("event_id % 2 = 0").select(
         F.col("event_id").alias("task_id"),
-        F.concat(F.lit("w"), (F.col("user_id") % 4).cast("string")).alias("ack_worker"),
-        (F.col("event_id") % 4 == 0).alias("success"),
+        F.explode(F.array(*[F.concat(F.lit("w"), ((F.col("user_id") + k) % 4).cast("string")) for k in (0, 1)])).alias("ack_worker"),
         F.when(F.col("event_id") % 10 == 6, F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("retry_at"),
+        (F.col("event_id") % 4 == 0).alias("_ok"),
     )
-    return queue.acknowledge(_tasks(spark, sf_dir), acks, _now()).select("task_id", "state", "outcome", "scheduled_at", "retry_count")
+    acks = acks.select("task_id", "ack_worker", "retry_at", F.posexplode(F.array("_ok", ~F.col("_ok"))).alias("ack_seq", "success"), F.lit("task failed").alias("error_message"))
+    return queue.acknowledge(_tasks(spark, sf_dir), acks, _now()).select("task_id", "state", "outcome", "scheduled_at", "retry_count", "worker_id", "lease_expires_at", "error_message")
+
+
+def queue_after_lease(spark, sf_dir):
+    tasks = _tasks(spark, sf_dir)
+    return queue.after_lease(tasks, queue.lease(tasks, _now(), 10, "30 SECONDS", "w9")).select("task_id", "state", "worker_id", "lease_expires_at")
+
+
+def worker_step(spark, sf_dir):
+    worked = queue.work(_tasks(spark, sf_dir), _now(), "w9", 100, 0.3)
+    return worked.select("task_id", "state", "outcome", "retry_count", "worker_id", "error_message")
+
+
+def queue_progress(spark, sf_dir):
+    kind = F.when(F.col("event_id") % 3 == 0, "handled").otherwise("produced")
+    return queue.progress(_read(spark, sf_dir, "events").select(F.col("ts"), kind.alias("kind"))).select(F.col("at").cast("timestamp_ntz").alias("began"), "produced", "handled", "in_flight")
+
+
+def reload_rule(spark, sf_dir):
+    e = _read(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("Transport", "Timeout", "Status"))), (F.col("event_id") % 3 + 1).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, ("NotFound", "Unavailable", "DeadlineExceeded", "Internal"))), (F.col("user_id") % 4 + 1).cast("int"))
+    return e.select("event_id", queue.reloads_broker(kind, code).alias("reloads"))
+
+
+def failure_rate(spark, sf_dir):
+    return _read(spark, sf_dir, "events").select("event_id", queue.fails(F.col("event_id"), 0.25).alias("fails"), queue.checked_rate(F.col("event_id") % 5 / 4).alias("rate"))
 
 
 def heartbeat_extend(spark, sf_dir):
@@ -212,12 +244,101 @@ def ack_records(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", F.when(failed, "Failure").otherwise("Success").alias("result"), F.when(failed, "task failed").alias("error_message"), core.interval_ns(F.col("user_id")).alias("interval_ns"))
 
 
+def completion_percentiles(spark, sf_dir):
+    """Milliseconds from an order to its last shipment, by priority."""
+    o, li = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "lineitem")
+    done = li.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("done"))
+    ms = (F.datediff("done", "o_orderdate").cast("long") * 86_400_000).alias("ms")
+    timed = o.join(done, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderpriority", ms)
+    return timed.groupBy("o_orderpriority").agg(*[F.expr(f"percentile_disc({p / 100}) WITHIN GROUP (ORDER BY ms)").cast("long").alias(f"p{p}") for p in (50, 90, 99)])
+
+
+def ids(spark, sf_dir):
+    """Ids of known time and bits, and whether random ones have their version."""
+    e, n = _read(spark, sf_dir, "events"), F.col("event_id")
+    v4 = core.uuid4().rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$")
+    return e.select("event_id", core.ulid_of(n * 1000003, n * 7919, n * 104729).alias("ulid"), core.uuid7_of(n * 1000003, n, n * 104729).alias("uuid7"), v4.alias("v4"))
+
+
+def log_levels(spark, sf_dir):
+    level = F.element_at(F.array(*map(F.lit, core.LEVELS)), (F.col("event_id") % 5 + 1).cast("int"))
+    e = _read(spark, sf_dir, "events").withColumn("level", level).filter(core.at_least(F.col("level"), "WARN"))
+    return e.select("event_id", core.log_json(F.col("level"), F.col("ts"), F.col("event_type"), user=F.col("user_id")).alias("line"))
+
+
+# ---------------------------------------------------------------- manifests and lake tables
+
+
+def _manifests(spark, sf_dir):
+    e, n = _read(spark, sf_dir, "events"), F.col("event_id")
+    pair = lambda url, value: F.struct(F.lit(url).alias("type_url"), F.encode(value, "UTF-8").alias("value"))
+    at = F.timestamp_millis(n * 1000)
+    status = (n % 3).cast("int")
+    tasks = e.select(
+        core.uuid7_of(n, n, n).alias("id"), at.alias("originally_scheduled_at"), at.alias("scheduled_at"), F.lit(3).alias("max_retries"), (n % 4).cast("int").alias("retry_count"), status.alias("status"),
+        F.when(status == 1, core.uuid7_of(n, n, n + 1)).alias("worker_id"), F.when(status == 1, at).alias("last_heartbeat"), F.when(status == 1, at).alias("lease_expires_at"),
+        F.when(status == 2, F.col("event_type")).alias("error_message"), F.when(status == 2, pair("e", F.col("event_type"))).alias("details"), pair("p", F.col("props")).alias("payload"), (n % 64).alias("queue"),
+    )
+    return manifest.encode(tasks, "queue", manifest.Header("10.1.2.3", 8080, 7, manifest.ZSTD))
+
+
+def manifest_round_trip(spark, sf_dir):
+    """Tasks in 64 manifests, each encoded and decoded."""
+    t = manifest.decode(_manifests(spark, sf_dir))
+    return t.select("id", F.unix_millis("scheduled_at").alias("scheduled_ms"), "retry_count", "status", "worker_id", "error_message", F.decode("payload.value", "UTF-8").alias("payload"))
+
+
+def manifest_headers(spark, sf_dir):
+    return manifest.headers(_manifests(spark, sf_dir)).select(F.col("path").cast("long").alias("queue"), "version", "broker_url", F.col("epoch").cast("long").alias("epoch"), "compression")
+
+
+def _lake_table(spark, sf_dir, keys=()) -> Table:
+    """Events in a table of their own, partitioned by type, appended in two writes."""
+    e = _read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    lake = Lake(spark, f"{shared_folder(spark)}/lake-{uuid.uuid4().hex}")
+    lake.create_namespace("default")
+    t = lake.create_table("default", "events", e.schema, partition_by=["event_type"])
+    t.append(e.filter("event_id % 2 = 0"))
+    t.append(e.filter("event_id % 2 = 1"))
+    return t
+
+
+def _once(table: Table, rows):
+    """rows, written; the table they come from goes."""
+    out = cut(rows)
+    path = table.spark._jvm.org.apache.hadoop.fs.Path(table.path).getParent().getParent()
+    path.getFileSystem(table.spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
+def table_scan(spark, sf_dir):
+    t = _lake_table(spark, sf_dir)
+    return _once(t, t.read().filter("event_type = 'click'"))
+
+
+def table_file_stats(spark, sf_dir):
+    """Of each file its rows; summed up by partition and write, as the files' names are random."""
+    t = _lake_table(spark, sf_dir)
+    s = t.file_stats(["event_id"])
+    return _once(t, s.groupBy("event_type", (F.col("min_event_id") % 2).alias("half")).agg(F.sum("n_rows").alias("n_rows"), F.min("min_event_id").alias("min_event_id"), F.max("max_event_id").alias("max_event_id")))
+
+
+def table_compact(spark, sf_dir):
+    """Files and rows of each partition once small files are one and the old ones are gone."""
+    t = _lake_table(spark, sf_dir)
+    rewritten, removed = t.compact(), t.prune()
+    by = t.file_stats([]).groupBy("event_type").agg(F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+    return _once(t, by.withColumn("all_removed", F.lit(rewritten == removed > 0)))
+
+
 def queries():
     found = [
         entity_latest, entity_tombstone, append_union, merge_two_batches, positional_delete, row_lineage, microbatch_flush,
         slice_assign, slice_stats, slice_split_decision, slice_merge, file_stats, compaction_plan, orphan_prune, partition_prune,
         cluster_rank, validate_split, tenant_isolation, route_affinity, queue_schedule_dedup, queue_lease, lease_expiry,
         queue_ack, heartbeat_extend, request_histogram, completion_latency, log_line, variant_extract, ack_records,
+        queue_after_lease, worker_step, queue_progress, reload_rule, failure_rate, completion_percentiles, ids, log_levels,
+        manifest_round_trip, manifest_headers, table_scan, table_file_stats, table_compact,
     ]
     return {f.__name__: f for f in found}
 
@@ -236,6 +357,12 @@ _SLICES = """WITH tiles AS (
 _DAYS = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n_rows, min(event_id) AS min_event_id, max(event_id) AS max_event_id, min(user_id) AS min_user_id, max(user_id) AS max_user_id FROM events GROUP BY ALL"
 
 
+def _uuid7(millis, high, low):
+    """SQL that writes an id of known bits."""
+    head, tail = f"printf('%012x', {millis})", f"printf('8%015x', {low})"
+    return f"substr({head}, 1, 8) || '-' || substr({head}, 9) || '-7' || printf('%03x', ({high}) % 4096) || '-' || substr({tail}, 1, 4) || '-' || substr({tail}, 5)"
+
+
 def oracle_sql():
     return {
         "entity_latest": _LATEST,
@@ -252,8 +379,11 @@ def oracle_sql():
         "slice_assign": _SLICES + "SELECT * FROM assigned",
         "slice_stats": _SLICES + "SELECT * FROM stats",
         "slice_split_decision": _SLICES + "SELECT o_orderpriority, slice, n_rows, n_rows > 750 AS split FROM stats",
-        "slice_merge": _SLICES + """SELECT o_orderpriority, merged, CAST(sum(n_rows) AS BIGINT) AS n_rows, min(min_key) AS min_key, max(max_key) AS max_key FROM (
-          SELECT *, CAST(coalesce(sum(n_rows) OVER (PARTITION BY o_orderpriority ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1500 AS BIGINT) AS merged FROM stats) GROUP BY ALL""",
+        "slice_merge": _SLICES.replace("WITH tiles", "WITH RECURSIVE tiles", 1) + """, steps AS (
+          SELECT o_orderpriority, slice, n_rows, min_key, max_key, CAST(0 AS BIGINT) AS merged, n_rows AS held FROM stats WHERE slice = 1
+          UNION ALL SELECT s.o_orderpriority, s.slice, s.n_rows, s.min_key, s.max_key, CASE WHEN held + s.n_rows <= 1500 THEN merged ELSE merged + 1 END, CASE WHEN held + s.n_rows <= 1500 THEN held + s.n_rows ELSE s.n_rows END
+          FROM steps p JOIN stats s ON s.o_orderpriority = p.o_orderpriority AND s.slice = p.slice + 1)
+          SELECT o_orderpriority, merged, CAST(sum(n_rows) AS BIGINT) AS n_rows, min(min_key) AS min_key, max(max_key) AS max_key FROM steps GROUP BY ALL""",
         "file_stats": _DAYS,
         "compaction_plan": f"""SELECT bin, count(*) AS n_files, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM (
           SELECT *, CAST(coalesce(sum(n_rows) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1000 AS BIGINT) AS bin FROM ({_DAYS})) GROUP BY bin""",
@@ -261,15 +391,36 @@ def oracle_sql():
         "partition_prune": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey >= 100",
         "cluster_rank": "SELECT l_orderkey, l_linenumber, l_shipdate, dense_rank() OVER (ORDER BY l_shipdate) AS rank FROM lineitem",
         "validate_split": "SELECT CASE WHEN event_id % 7 = 0 THEN 'null_user_id' WHEN value >= 5 THEN 'ok' ELSE 'value_range' END AS verdict, count(*) AS n_rows FROM events GROUP BY 1",
-        "tenant_isolation": "SELECT c_nationkey, count(*) AS n_orders, min(o_orderkey) AS min_order FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 5 GROUP BY 1",
+        "tenant_isolation": "SELECT c_nationkey, count(*) AS n_orders, min(o_orderkey) AS min_order FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1",
         "route_affinity": "SELECT CAST(('0x' || substr(md5('events/' || event_type), 1, 8)) AS BIGINT) % 4 AS worker, count(*) AS n_rows FROM events GROUP BY 1",
         "queue_schedule_dedup": "SELECT unique_id, run_at, request_seq FROM (SELECT CAST(user_id AS VARCHAR) AS unique_id, ts AS run_at, event_id AS request_seq, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1",
         "queue_lease": f"SELECT task_id, unique_id, retry_count + 1 AS attempt, scheduled_at, {_NOW} + INTERVAL 30 SECOND AS lease_expires_at, 'w1' AS worker_id FROM ({_TASKS}) WHERE {_ELIGIBLE} ORDER BY scheduled_at, task_id LIMIT 10",
         "lease_expiry": f"SELECT task_id, state, coalesce({_ELIGIBLE}, false) AS eligible FROM ({_TASKS})",
-        "queue_ack": f"""WITH a AS (SELECT event_id AS task_id, 'w' || (user_id % 4) AS ack_worker, event_id % 4 = 0 AS success, CASE WHEN event_id % 10 = 6 THEN ts + INTERVAL 1 HOUR END AS retry_at FROM events WHERE event_id % 2 = 0),
-          j AS (SELECT t.*, a.*  EXCLUDE task_id, CASE WHEN ack_worker IS NULL THEN 'None' WHEN NOT coalesce(state = 'Running' AND worker_id = ack_worker, false) THEN 'Rejected' WHEN success THEN 'Done' WHEN retry_count < max_retries THEN 'Retry' ELSE 'Failed' END AS outcome FROM ({_TASKS}) t LEFT JOIN a USING (task_id))
+        "queue_ack": f"""WITH a AS (SELECT event_id AS task_id, unnest(['w' || (user_id % 4), 'w' || ((user_id + 1) % 4)]) AS ack_worker, event_id % 4 = 0 AS success, CASE WHEN event_id % 10 = 6 THEN ts + INTERVAL 1 HOUR END AS retry_at FROM events WHERE event_id % 2 = 0),
+          j AS (SELECT t.*, a.ack_worker, a.success, a.retry_at, CASE WHEN t.task_id % 2 <> 0 THEN 'None' WHEN ack_worker IS NULL THEN 'Rejected' WHEN success THEN 'Done' WHEN retry_count < max_retries THEN 'Retry' ELSE 'Failed' END AS outcome
+            FROM ({_TASKS}) t LEFT JOIN a ON a.task_id = t.task_id AND state = 'Running' AND worker_id = ack_worker)
           SELECT task_id, CASE outcome WHEN 'Done' THEN 'Done' WHEN 'Retry' THEN 'Created' WHEN 'Failed' THEN 'Failed' ELSE state END AS state, outcome,
-            CASE WHEN outcome = 'Retry' THEN coalesce(retry_at, {_NOW}) ELSE scheduled_at END AS scheduled_at, CASE WHEN outcome = 'Retry' THEN retry_count + 1 ELSE retry_count END AS retry_count FROM j""",
+            CASE WHEN outcome = 'Retry' THEN coalesce(retry_at, {_NOW}) ELSE scheduled_at END AS scheduled_at, CASE WHEN outcome = 'Retry' THEN retry_count + 1 ELSE retry_count END AS retry_count,
+            CASE WHEN outcome IN ('None', 'Rejected') THEN worker_id END AS worker_id, CASE WHEN outcome IN ('None', 'Rejected') THEN lease_expires_at END AS lease_expires_at, CASE WHEN outcome IN ('Retry', 'Failed') THEN 'task failed' END AS error_message FROM j""",
+        "queue_after_lease": f"""WITH c AS (SELECT task_id FROM ({_TASKS}) WHERE {_ELIGIBLE} ORDER BY scheduled_at, task_id LIMIT 10)
+          SELECT task_id, CASE WHEN task_id IN (FROM c) THEN 'Running' ELSE state END AS state, CASE WHEN task_id IN (FROM c) THEN 'w9' ELSE worker_id END AS worker_id,
+            CASE WHEN task_id IN (FROM c) THEN {_NOW} + INTERVAL 30 SECOND ELSE lease_expires_at END AS lease_expires_at FROM ({_TASKS})""",
+        "worker_step": f"""WITH c AS (SELECT task_id FROM ({_TASKS}) WHERE {_ELIGIBLE} ORDER BY scheduled_at, task_id LIMIT 100),
+          j AS (SELECT *, CASE WHEN task_id NOT IN (FROM c) THEN 'None' WHEN CAST(('0x' || substr(md5('0:' || task_id), 1, 8)) AS BIGINT) / 4294967296.0 >= 0.3 THEN 'Done' WHEN retry_count < max_retries THEN 'Retry' ELSE 'Failed' END AS outcome FROM ({_TASKS}))
+          SELECT task_id, CASE outcome WHEN 'None' THEN state WHEN 'Retry' THEN 'Created' ELSE outcome END AS state, outcome, CAST(retry_count + CASE WHEN outcome = 'Retry' THEN 1 ELSE 0 END AS INTEGER) AS retry_count,
+            CASE WHEN outcome = 'None' THEN worker_id END AS worker_id, CASE WHEN outcome IN ('Retry', 'Failed') THEN 'task failed' END AS error_message FROM j""",
+        "queue_progress": """SELECT began, CAST(sum(p) OVER w AS BIGINT) AS produced, CAST(sum(h) OVER w AS BIGINT) AS handled, CAST(sum(p - h) OVER w AS BIGINT) AS in_flight FROM (
+          SELECT time_bucket(INTERVAL 5 SECOND, ts) AS began, count(*) FILTER (event_id % 3 <> 0) AS p, count(*) FILTER (event_id % 3 = 0) AS h FROM events GROUP BY 1) WINDOW w AS (ORDER BY began)""",
+        "reload_rule": "SELECT event_id, event_id % 3 = 1 OR (event_id % 3 = 2 AND user_id % 4 IN (1, 2)) AS reloads FROM events",
+        "failure_rate": "SELECT event_id, CAST(('0x' || substr(md5('0:' || event_id), 1, 8)) AS BIGINT) / 4294967296.0 < 0.25 AS fails, (event_id % 5) / CAST(4 AS DOUBLE) AS rate FROM events",
+        "completion_percentiles": "SELECT o_orderpriority, " + ", ".join(f"quantile_disc(d, {p / 100}) AS p{p}" for p in (50, 90, 99)) + " FROM (SELECT o_orderpriority, date_diff('day', o_orderdate, done) * 86400000 AS d FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS done FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey) GROUP BY 1",
+        "ids": "SELECT event_id, " + " || ".join(f"substr('{core.CROCKFORD}', CAST((({x}) >> {5 * i}) & 31 AS BIGINT) + 1, 1)" for x, n in (("event_id * 1000003", 10), ("event_id * 7919", 8), ("event_id * 104729", 8)) for i in range(n - 1, -1, -1)) + f" AS ulid, {_uuid7('event_id * 1000003', 'event_id', 'event_id * 104729')} AS uuid7, true AS v4 FROM events",
+        "log_levels": """SELECT event_id, '{"level":"' || CASE event_id % 5 WHEN 3 THEN 'WARN' ELSE 'ERROR' END || '","timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","message":"' || event_type || '","user":' || user_id || '}' AS line FROM events WHERE event_id % 5 >= 3""",
+        "manifest_round_trip": f"SELECT {_uuid7('event_id', 'event_id', 'event_id')} AS id, event_id * 1000 AS scheduled_ms, CAST(event_id % 4 AS INTEGER) AS retry_count, CAST(event_id % 3 AS INTEGER) AS status, CASE WHEN event_id % 3 = 1 THEN {_uuid7('event_id', 'event_id', 'event_id + 1')} END AS worker_id, CASE WHEN event_id % 3 = 2 THEN event_type END AS error_message, props AS payload FROM events",
+        "manifest_headers": "SELECT DISTINCT event_id % 64 AS queue, 1 AS version, 'http://10.1.2.3:8080' AS broker_url, CAST(7 AS BIGINT) AS epoch, 1 AS compression FROM events",
+        "table_scan": "SELECT event_id, user_id, event_type, value FROM events WHERE event_type = 'click'",
+        "table_file_stats": "SELECT event_type, event_id % 2 AS half, count(*) AS n_rows, min(event_id) AS min_event_id, max(event_id) AS max_event_id FROM events GROUP BY 1, 2",
+        "table_compact": "SELECT event_type, CAST(1 AS BIGINT) AS n_files, count(*) AS n_rows, true AS all_removed FROM events GROUP BY 1",
         "heartbeat_extend": f"""WITH b AS (SELECT event_id AS task_id, 'w' || (user_id % 4) AS beat_worker FROM events WHERE event_id % 2 = 0),
           j AS (SELECT t.*, coalesce(state = 'Running' AND worker_id = beat_worker AND lease_expires_at > {_NOW}, false) AS extended FROM ({_TASKS}) t LEFT JOIN b USING (task_id))
           SELECT task_id, extended, CASE WHEN extended THEN {_NOW} + INTERVAL 30 SECOND ELSE lease_expires_at END AS lease_expires_at FROM j""",

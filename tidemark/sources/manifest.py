@@ -190,11 +190,15 @@ def decode_tasks(body: bytes) -> list[Task]:
 
 def read_headers(spark: SparkSession, paths: str) -> DataFrame:
     """Headers of all manifests under a path pattern; of each file Spark gives its bytes, and 16 of them are parsed in SQL."""
+    return headers(spark.read.format("binaryFile").load(paths))
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """Headers of manifests (path, content), parsed in SQL."""
     raw = F.substring("content", 1, HEADER.size)
     byte = lambda i: F.conv(F.hex(F.substring(raw, i, 1)), 16, 10)
     little = lambda i, n: F.conv(F.concat(*[F.hex(F.substring(raw, j, 1)) for j in range(i + n - 1, i - 1, -1)]), 16, 10)
     fine = (F.length("content") >= HEADER.size) & (byte(1) == "1") & byte(16).isin("0", "1")
-    files = spark.read.format("binaryFile").load(paths)
     return files.select(
         F.when(fine, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("no manifest: "), "path"))).alias("path"),
         byte(1).cast("int").alias("version"),
@@ -239,10 +243,36 @@ class ManifestSource(DataSource):
         return _ManifestReader(self.options)
 
 
+def encode(tasks: DataFrame, by: str, header: Header) -> DataFrame:
+    """A manifest (path, content) for each queue `by` of tasks, whose columns are those of TASK. A queue's manifest is one file by its nature."""
+
+    def pack(key, pdf):
+        import pandas as pd
+
+        any_ = lambda a: None if a is None else Any(a["type_url"], bytes(a["value"]))
+        none = lambda v: None if v is None or v is pd.NaT or v != v else v
+        time_ = lambda t: None if none(t) is None else t.to_pydatetime().replace(tzinfo=UTC) if t.tzinfo is None else t.to_pydatetime()
+        listed = [
+            Task(
+                r.id, time_(r.originally_scheduled_at), time_(r.scheduled_at), int(r.max_retries), int(r.retry_count), any_(r.payload), int(r.status),
+                none(r.worker_id), time_(r.last_heartbeat), time_(r.lease_expires_at), none(r.error_message), any_(none(r.details)),
+            )
+            for r in pdf.sort_values("id").itertuples()
+        ]
+        return pd.DataFrame({"path": [str(key[0])], "content": [Manifest(header, listed).to_bytes()]})
+
+    return tasks.groupBy(by).applyInPandas(pack, "path string, content binary")
+
+
 def read_tasks(spark: SparkSession, paths: str) -> DataFrame:
     """Tasks of all manifests that Spark's readers can open, one row each."""
+    return decode(spark.read.format("binaryFile").load(paths))
+
+
+def decode(files: DataFrame) -> DataFrame:
+    """Tasks of manifests (content), one row each."""
 
-    def decode(batches):
+    def unpack(batches):
         import pandas as pd
 
         pair = lambda a: None if a is None else {"type_url": a.type_url, "value": a.value}
@@ -250,7 +280,7 @@ def read_tasks(spark: SparkSession, paths: str) -> DataFrame:
             rows = [{**t.__dict__, "details": pair(t.details), "payload": pair(t.payload)} for raw in pdf["content"] for t in Manifest.from_bytes(bytes(raw)).tasks]
             yield pd.DataFrame(rows, columns=_names())
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(decode, TASK)
+    return files.select("content").mapInPandas(unpack, TASK)
 
 
 def _names() -> list[str]:
