@@ -168,6 +168,9 @@ def test_odd_documents_and_blocks(spark, odd, empty, tmp_path):
     flac.write_blocks(flac.decode(media), path)
     parts = flac.read_samples(spark.read.parquet(path), 4, 5000, 9000).orderBy("sample_offset").collect()
     assert [p.sample_offset for p in parts] == [4096, 8192, 12288]
+    larger = str(tmp_path / "larger")
+    flac.write_blocks(flac.decode(media, 10_000), larger)
+    assert [p.sample_offset for p in flac.read_samples(spark.read.parquet(larger), 4, 15_000, 10_000).orderBy("sample_offset").collect()] == [10_000, 20_000]
     from llm.conftest import LONG
 
     assert bytes(b ^ 0x80 for b in parts[0].pcm) == LONG.encode()[4096:8192]

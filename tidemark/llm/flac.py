@@ -14,7 +14,7 @@ As the source has texts, `encode` stores UTF-8 bytes, padded with 0 to a positiv
 Edge cases: null and empty texts become 64 samples of byte 0; long texts have many frames, and memory is
 bounded by batches of `CHUNK` bytes or one text; repeated rows give equal media; a null doc_id stays null;
 an empty table gives an empty result; further columns of the input are ignored; a null media value gives
-no row; damaged media raise FlacError.
+no row; a stream without samples gives no blocks; damaged media raise FlacError.
 """
 
 from __future__ import annotations
@@ -549,14 +549,23 @@ def _decoded(batches):
                 yield ids[i], media[i], info, x
 
 
+def _pcm(info: _Info, x: np.ndarray, block: int):
+    """sample_offset, number of samples and interleaved little-endian bytes of each block."""
+    for o in range(0, x.shape[1], block):
+        part = x[:, o : o + block]
+        yield o, part.shape[1], _bytes(part, info.bits)
+
+
 def decode(media: DataFrame, block: int = PCM_BLOCK) -> DataFrame:
     """PCM blocks: doc_id, block, sample_offset, n_samples, n_channels, pcm (interleaved, little-endian). A sample s is in block s // block."""
     schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("sample_offset", pa.int64()), ("n_samples", pa.int32()), ("n_channels", pa.int32()), ("pcm", pa.binary())])
 
     def run(batches):
         for doc, _, info, x in _decoded(batches):
-            offsets = list(range(0, x.shape[1], block))
-            cols = [[doc] * len(offsets), [o // block for o in offsets], offsets, [min(block, x.shape[1] - o) for o in offsets], [info.channels] * len(offsets), [_bytes(x[:, o : o + block], info.bits) for o in offsets]]
+            if not x.shape[1]:
+                continue
+            offsets, sizes, raw = (list(c) for c in zip(*_pcm(info, x, block)))
+            cols = [[doc] * len(offsets), [o // block for o in offsets], offsets, sizes, [info.channels] * len(offsets), raw]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, block long, sample_offset long, n_samples int, n_channels int, pcm binary")
@@ -569,22 +578,28 @@ def write_blocks(blocks: DataFrame, path: str) -> None:
 
 def read_samples(blocks: DataFrame, doc_id: int, start: int, n: int) -> DataFrame:
     """The blocks that hold samples start to start + n; the filter reaches the Parquet scan."""
-    return blocks.filter((F.col("doc_id") == doc_id) & (F.col("sample_offset") < start + n) & (F.col("sample_offset") > start - PCM_BLOCK))
+    return blocks.filter((F.col("doc_id") == doc_id) & (F.col("sample_offset") < start + n) & (F.col("sample_offset") + F.col("n_samples") > start))
 
 
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """Reads media back: lengths and checksums of payload and media, and features of the samples (energy, mean, sign changes)."""
+    """Reads media back as PCM blocks, one after another: lengths and checksums of payload and media, and features of the samples (energy, mean, sign changes)."""
 
     def run(batches):
         rows = []
         for doc, stored, info, x in _decoded(batches):
-            payload = (x[0] + 128).astype(np.uint8).tobytes()
+            hashed, n, tail = hashlib.sha256(), 0, b""
+            for offset, size, pcm in _pcm(info, x, PCM_BLOCK):
+                if offset != n:
+                    raise FlacError("samples are missing")
+                part = (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
+                hashed.update(part)
+                n, tail = n + size, (tail + part)[-64:]
             s = x[0]
             feature = f"energy={int((s * s).sum())};sum={int(s.sum())};crossings={int(((s[1:] ^ s[:-1]) < 0).sum())};peak={int(np.abs(s).max(initial=0))};seekpoints={len(info.seek)}"
-            rows.append((doc, info.length, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature))
+            rows.append((doc, info.length, n, hashed.hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(), feature))
             if len(rows) == 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), DIGEST)], schema=DIGEST)
                 rows = []
