@@ -138,6 +138,18 @@ def test_round_trip(texts):
         assert (ref == x).all()
 
 
+def test_equal_texts_are_stored_alike_beside_any_neighbour():
+    r = random.Random(2)
+    for _ in range(500):
+        v, step, out = r.randint(60, 180), 0, []
+        for _ in range(64):
+            step += r.choice([-1, 0, 1])
+            v = max(1, min(254, v + step))
+            out.append(v)
+        alone, after = flac.encode_batch([bytes(out)])[0], [flac.encode_batch([n * 64, bytes(out)])[1] for n in (b"\0", b"\xff")]
+        assert after == [alone, alone]
+
+
 def test_frames_by_a_scalar_check():
     (m,) = flac.encode_batch([b"The quick brown fox. " * 100])
     info = flac._Info(m)

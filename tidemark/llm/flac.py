@@ -92,12 +92,13 @@ def encode_batch(texts: list[bytes]) -> list[bytes]:
     length = np.minimum(BLOCK, sizes[stream] - number * BLOCK)
     frames = len(begin)
 
-    # Residuals of the fixed predictors 0 to 2; a frame takes the one with the smallest sum.
+    # Residuals of the fixed predictors 0 to 2; a frame takes the one with the smallest sum. Warm-up samples
+    # don't count: their differences reach into the frame before, which may be another text's.
     d1 = np.diff(x, prepend=x[:1])
     d2 = np.diff(d1, prepend=d1[:1])
     residuals = [x, d1, d2]
     sums = [np.add.reduceat(np.abs(r).astype(np.int64), begin) for r in residuals]
-    order = np.argmin(np.stack([s - np.abs(r[begin]) * (o > 0) for o, (s, r) in enumerate(zip(sums, residuals))]), axis=0)
+    order = np.argmin(np.stack([s - sum(np.abs(r[begin + j]) for j in range(o)) for o, (s, r) in enumerate(zip(sums, residuals))]), axis=0)
     e = np.where(np.repeat(order, length) == 0, x, np.where(np.repeat(order, length) == 1, d1, d2)).astype(np.int32)
     place = _spread(np.zeros(frames, np.int64), length)
     u = np.where(e < 0, -2 * e - 1, 2 * e)
