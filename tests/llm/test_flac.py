@@ -150,6 +150,23 @@ def test_equal_texts_are_stored_alike_beside_any_neighbour():
         assert after == [alone, alone]
 
 
+def test_long_texts_take_several_runs(monkeypatch):
+    r = random.Random(5)
+    texts = [r.randbytes(1_500_000) + b"\xff\xf8\x80\x02" * 9000, b"a" * 3000, b"", b"The quick brown fox. " * 60_000]
+    media = flac.encode_batch(texts)
+    for t, (_, x) in zip(texts, flac.decode_batch(media)):
+        assert (x[0] + 128).astype(np.uint8).tobytes()[: len(t)] == t
+    monkeypatch.setattr(flac, "CHUNK", 1 << 14)
+    assert flac.encode_batch(texts) == media
+    for t, (_, x) in zip(texts, flac.decode_batch(media)):
+        assert (x[0] + 128).astype(np.uint8).tobytes()[: len(t)] == t
+
+
+def test_frames_that_only_look_like_headers_are_left_out():
+    number, stream = np.array([0, 7, 1, 2, 0, 1, 5]), np.array([0, 0, 0, 0, 2, 2, 2])
+    assert flac._counted(number, stream, 3).tolist() == [True, False, True, True, True, True, False]
+
+
 def test_frames_by_a_scalar_check():
     (m,) = flac.encode_batch([b"The quick brown fox. " * 100])
     info = flac._Info(m)

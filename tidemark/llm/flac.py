@@ -11,8 +11,8 @@ header (the CRC-16 tells), the stream is decoded frame after frame instead.
 As the source has texts, `encode` stores UTF-8 bytes, padded with 0 to a positive multiple of 64, as
 8-bit samples (byte - 128), and the unpadded length in an application block.
 
-Edge cases: null and empty texts become 64 samples of byte 0; long texts have many frames, and memory is
-bounded by batches of `CHUNK` bytes or one text; repeated rows give equal media; a null doc_id stays null;
+Edge cases: null and empty texts become 64 samples of byte 0; long texts have many frames, which are coded and
+decoded in runs of about `CHUNK` samples, so that a text takes about ten times its size beside a fixed amount; repeated rows give equal media; a null doc_id stays null;
 an empty table gives an empty result; further columns of the input are ignored; a null media value gives
 no row; a stream without samples gives no blocks; damaged media raise FlacError.
 """
@@ -77,19 +77,17 @@ def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begins - (upto - lengths), lengths)
 
 
-def encode_batch(texts: list[bytes]) -> list[bytes]:
-    """A FLAC stream for each text's padded bytes."""
-    if not texts:
-        return []
-    padded = [t + bytes(-len(t) % 64 or (0 if t else 64)) for t in texts]
-    sizes = np.array([len(p) for p in padded], np.int64)
-    raw = np.frombuffer(b"".join(padded), np.uint8)
+def _code(pieces: list[bytes], first: list[int]) -> list[tuple[bytes, np.ndarray]]:
+    """The frames of each piece, numbered from its first, and their sizes."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    raw = np.frombuffer(b"".join(pieces), np.uint8)
     x = raw.astype(np.int16) - 128
     n_frames = -(-sizes // BLOCK)
-    stream = np.repeat(np.arange(len(texts)), n_frames)
-    number = _spread(np.zeros(len(texts), np.int64), n_frames)
-    begin = np.repeat(np.cumsum(sizes) - sizes, n_frames) + number * BLOCK
-    length = np.minimum(BLOCK, sizes[stream] - number * BLOCK)
+    stream = np.repeat(np.arange(len(pieces)), n_frames)
+    local = _spread(np.zeros(len(pieces), np.int64), n_frames)
+    number = local + np.array(first, np.int64)[stream]
+    begin = np.repeat(np.cumsum(sizes) - sizes, n_frames) + local * BLOCK
+    length = np.minimum(BLOCK, sizes[stream] - local * BLOCK)
     frames = len(begin)
 
     # Residuals of the fixed predictors 0 to 2; a frame takes the one with the smallest sum. Warm-up samples
@@ -180,26 +178,54 @@ def encode_batch(texts: list[bytes]) -> list[bytes]:
     final[to + frame_bytes - 2], final[to + frame_bytes - 1] = check >> 8, check & 0xFF
     blob = final.tobytes()
 
-    signed = (raw ^ 0x80).tobytes()
-    media, first, at_raw = [], 0, 0
-    for i, t in enumerate(texts):
-        a, b = first, first + int(n_frames[i])
-        sizes_of = frame_bytes[a:b]
-        lo, hi = int(to[a]), int(to[b - 1] + frame_bytes[b - 1])
-        points = range(0, b - a, max(16, -(-(b - a) // 900_000)))
-        seek = b"".join(struct.pack(">QQH", p * BLOCK, int(to[a + p]) - lo, int(length[a + p])) for p in points)
-        packed_info = RATE << 44 | 0 << 41 | 7 << 36 | len(padded[i])
-        info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes_of.min()).to_bytes(3, "big") + int(sizes_of.max()).to_bytes(3, "big") + packed_info.to_bytes(8, "big") + hashlib.md5(signed[at_raw : at_raw + len(padded[i])]).digest()
-        app = APPLICATION + len(t).to_bytes(8, "big")
-        media.append(
-            b"fLaC"
-            + b"\x00" + len(info).to_bytes(3, "big") + info
-            + b"\x02" + len(app).to_bytes(3, "big") + app
-            + b"\x83" + len(seek).to_bytes(3, "big") + seek
-            + blob[lo:hi]
-        )
-        first, at_raw = b, at_raw + len(padded[i])
-    return media
+    bounds = np.concatenate([[0], np.cumsum(n_frames)]).tolist()
+    at_frame = np.append(to, len(blob)).tolist()
+    return [(blob[at_frame[i] : at_frame[j]], frame_bytes[i:j]) for i, j in zip(bounds, bounds[1:])]
+
+
+def encode_batch(texts: list[bytes]) -> list[bytes]:
+    """A FLAC stream for each text's padded bytes. At most CHUNK bytes are coded side by side; a long text takes several runs."""
+    padded = [t + bytes(-len(t) % 64 or (0 if t else 64)) for t in texts]
+    coded: list[list] = [[] for _ in texts]
+    run, held = [], 0
+
+    def code():
+        for (i, _, _), frames in zip(run, _code([p for _, _, p in run], [first for _, first, _ in run])):
+            coded[i].append(frames)
+
+    for i, p in enumerate(padded):
+        for o in range(0, len(p), CHUNK):
+            piece = p[o : o + CHUNK]
+            if run and held + len(piece) > CHUNK:
+                code()
+                run, held = [], 0
+            run.append((i, o // BLOCK, piece))
+            held += len(piece)
+    if run:
+        code()
+    return [_stream(t, p, [blob for blob, _ in c], np.concatenate([sizes for _, sizes in c])) for t, p, c in zip(texts, padded, coded)]
+
+
+def _stream(text: bytes, padded: bytes, blobs: list[bytes], sizes: np.ndarray) -> bytes:
+    """The stream of a text, whose frames are there."""
+    md5 = hashlib.md5()
+    for o in range(0, len(padded), CHUNK):
+        md5.update((np.frombuffer(padded[o : o + CHUNK], np.uint8) ^ 0x80).tobytes())
+    at = np.cumsum(sizes) - sizes
+    points = range(0, len(sizes), max(16, -(-len(sizes) // 900_000)))
+    seek = b"".join(struct.pack(">QQH", p * BLOCK, int(at[p]), min(BLOCK, len(padded) - p * BLOCK)) for p in points)
+    packed_info = RATE << 44 | 0 << 41 | 7 << 36 | len(padded)
+    info = struct.pack(">HH", BLOCK, BLOCK) + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big") + packed_info.to_bytes(8, "big") + md5.digest()
+    app = APPLICATION + len(text).to_bytes(8, "big")
+    return b"".join(
+        [
+            b"fLaC",
+            b"\x00" + len(info).to_bytes(3, "big") + info,
+            b"\x02" + len(app).to_bytes(3, "big") + app,
+            b"\x83" + len(seek).to_bytes(3, "big") + seek,
+            *blobs,
+        ]
+    )
 
 
 # ---------------------------------------------------------------- decoding
@@ -227,7 +253,7 @@ class _Info:
         if info is None or len(info) != 34:
             raise FlacError("no stream information")
         self.frames_at = at
-        self.block = int.from_bytes(info[2:4], "big")
+        self.block, self.longest = int.from_bytes(info[2:4], "big"), int.from_bytes(info[7:10], "big")
         x = int.from_bytes(info[10:18], "big")
         self.rate, self.channels, self.bits, self.samples = x >> 44, (x >> 41 & 7) + 1, (x >> 36 & 31) + 1, x & (1 << 36) - 1
         self.md5 = info[18:34]
@@ -452,17 +478,12 @@ def decode_batch(media: list[bytes]) -> list[tuple[_Info, np.ndarray]]:
     frames = _Frames(buf, found, np.array([i.bits for i in infos])[stream] if len(found) else np.zeros(0, np.int64))
     right = frames.headers()
     out: list = [None] * len(media)
-    # Of each stream, the candidates that are numbered on from 0.
-    variable = buf[found + 1] & 1
-    blocks = np.array([i.block for i in infos], np.int64)
-    keep = np.flatnonzero(right & (variable == 0))
-    firsts = np.searchsorted(stream[keep], np.arange(len(media)))
-    simple = np.zeros(len(keep), bool)
-    running = np.arange(len(keep)) - firsts[stream[keep]]
-    simple = frames.number[keep] == running
+    # Of each stream, the candidates that are numbered on from 0; others mistake audio for a header.
+    keep = np.flatnonzero(right & (buf[found + 1] & 1 == 0))
+    keep = keep[_counted(frames.number[keep], stream[keep], len(media))]
     per = np.bincount(stream[keep], minlength=len(media))
     expected = np.array([-(-i.samples // max(1, i.block)) for i in infos])
-    sane = (np.bincount(stream[keep], weights=~simple, minlength=len(media)) == 0) & (per == expected) & (per > 0)
+    sane = (per == expected) & (per > 0)
     rows = keep[sane[stream[keep]]]
     if len(rows):
         s = stream[rows]
@@ -471,31 +492,59 @@ def decode_batch(media: list[bytes]) -> list[tuple[_Info, np.ndarray]]:
         sums = crc(buf, begin, end - 2, True) == (buf[end - 2].astype(np.uint16) << 8 | buf[end - 1])
         bad = np.unique(s[~sums | (begin != np.where(np.append(True, s[1:] != s[:-1]), ends[s] - sizes[s], begin))])
         good = ~np.isin(s, bad)
-        rows, s, end = rows[good], s[good], end[good]
-        if len(rows):
-            f = _Frames(buf, found[rows], frames.stream_bits[rows])
+        rows, s, begin, end = rows[good], s[good], begin[good], end[good]
+        parts: list[list] = [[] for _ in media]
+        # Runs of frames of about CHUNK samples, so that a long stream takes no more memory at a time.
+        run = np.cumsum(frames.n[rows]) // CHUNK
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(rows)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            lo = int(begin[a])
+            f = _Frames(buf[lo : int(end[b - 1]) + 32], begin[a:b] - lo, frames.stream_bits[rows[a:b]])
             f.headers()
             samples, after = f.decode()
-            if (after + 2 != end).any():
+            if (lo + after + 2 != end[a:b]).any():
                 raise FlacError("a frame's length is wrong")
-            bounds = np.searchsorted(s, np.arange(len(media) + 1))
-            for i in range(len(media)):
-                a, b = bounds[i], bounds[i + 1]
-                if a < b:
-                    out[i] = _joined(samples[:, a:b], f.n[a:b], infos[i])
+            first = int(s[a])
+            bounds = np.searchsorted(s[a:b], np.arange(first, int(s[b - 1]) + 2))
+            for i, (c, d) in enumerate(zip(bounds, bounds[1:]), first):
+                if c < d:
+                    parts[i].append(_joined(samples[:, c:d], f.n[c:d], infos[i]))
+        for i, p in enumerate(parts):
+            if p:
+                out[i] = np.concatenate(p, axis=1)
     for i, x in enumerate(out):
         if x is None:
             out[i] = _one_by_one(bodies[i], infos[i])
     for info, x in zip(infos, out):
         if info.samples and x.shape[1] != info.samples:
             raise FlacError("samples are missing")
-        if info.md5 != bytes(16) and hashlib.md5(_bytes(x, info.bits)).digest() != info.md5:
-            raise FlacError("the stream's MD5 is wrong")
+        if info.md5 != bytes(16):
+            md5 = hashlib.md5()
+            for o in range(0, x.shape[1], CHUNK):
+                md5.update(_bytes(x[:, o : o + CHUNK], info.bits))
+            if md5.digest() != info.md5:
+                raise FlacError("the stream's MD5 is wrong")
     return list(zip(infos, out))
 
 
+def _counted(number: np.ndarray, stream: np.ndarray, n_streams: int) -> np.ndarray:
+    """Which frame numbers count on from 0 in their stream."""
+    bounds = np.searchsorted(stream, np.arange(n_streams + 1))
+    fits = number == np.arange(len(number)) - bounds[stream]
+    for i in np.unique(stream[~fits]).tolist():
+        a, b = bounds[i], bounds[i + 1]
+        due = 0
+        for j, x in enumerate(number[a:b].tolist(), a):
+            fits[j] = x == due
+            due += x == due
+    return fits
+
+
 def _joined(samples, n, info):
-    part = samples[: info.channels]
+    """The samples of frames that follow each other, in no more bytes than they need."""
+    part = samples[: info.channels].astype(np.int16 if info.bits <= 16 else np.int32)
     if (n == samples.shape[2]).all():
         return part.reshape(info.channels, -1)
     inside = np.arange(samples.shape[2]) < n[:, None]
@@ -514,16 +563,19 @@ def _bytes(x: np.ndarray, bits: int) -> bytes:
 def _one_by_one(body: bytes, info: _Info) -> np.ndarray:
     buf, at, parts = np.frombuffer(body + bytes(32), np.uint8), 0, []
     while at < len(body):
-        f = _Frames(buf[at:], np.array([0]), np.array([info.bits]))
+        f = _Frames(buf[at : at + info.longest + 32] if info.longest else buf[at:], np.array([0]), np.array([info.bits]))
         if buf[at] != 0xFF or buf[at + 1] & 0xFE != 0xF8 or not f.headers().all():
             raise FlacError("a frame's header is wrong")
-        samples, after = f.decode()
+        try:
+            samples, after = f.decode()
+        except IndexError:
+            raise FlacError("a frame runs over its end") from None
         end = at + int(after[0])
         if crc(buf, np.array([at]), np.array([end]), True)[0] != int(buf[end]) << 8 | int(buf[end + 1]):
             raise FlacError("a frame's CRC-16 is wrong")
-        parts.append(samples[: info.channels, 0, : int(f.n[0])])
+        parts.append(_joined(samples, f.n, info))
         at = end + 2
-    return np.concatenate(parts, axis=1) if parts else np.zeros((info.channels, 0), np.int64)
+    return np.concatenate(parts, axis=1) if parts else np.zeros((info.channels, 0), np.int16)
 
 
 # ---------------------------------------------------------------- on DataFrames
@@ -591,15 +643,18 @@ def digest(media: DataFrame) -> DataFrame:
     def run(batches):
         rows = []
         for doc, stored, info, x in _decoded(batches):
-            hashed, n, tail = hashlib.sha256(), 0, b""
+            hashed, n, tail, energy = hashlib.sha256(), 0, b"", 0
             for offset, size, pcm in _pcm(info, x, PCM_BLOCK):
                 if offset != n:
                     raise FlacError("samples are missing")
                 part = (np.frombuffer(pcm, np.uint8) ^ 0x80).tobytes()
                 hashed.update(part)
+                samples = x[0, n : n + size].astype(np.int64)
+                energy += int((samples * samples).sum())
                 n, tail = n + size, (tail + part)[-64:]
             s = x[0]
-            feature = f"energy={int((s * s).sum())};sum={int(s.sum())};crossings={int(((s[1:] ^ s[:-1]) < 0).sum())};peak={int(np.abs(s).max(initial=0))};seekpoints={len(info.seek)}"
+            peak = max(int(s.max(initial=0)), -int(s.min(initial=0)))
+            feature = f"energy={energy};sum={int(s.sum(dtype=np.int64))};crossings={int(((s[1:] ^ s[:-1]) < 0).sum())};peak={peak};seekpoints={len(info.seek)}"
             rows.append((doc, info.length, n, hashed.hexdigest(), zlib.crc32(tail), len(stored), hashlib.sha256(stored).hexdigest(), feature))
             if len(rows) == 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), DIGEST)], schema=DIGEST)
