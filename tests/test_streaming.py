@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
@@ -5,8 +6,10 @@ from tidemark.operators import tables
 from tidemark.streaming import wal
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Shuffled files with late and repeated versions end in the state that one merge gives."""
+@pytest.mark.parametrize("whole", [2, 3, 16])
+def test_stream_equals_batch(spark, tmp_path, monkeypatch, whole):
+    """Shuffled files with late and repeated versions end in the state that one merge gives, whenever the whole state is written."""
+    monkeypatch.setattr(wal, "WHOLE", whole)
     e = spark.read.parquet(f"{DATA}/sf0.001/events.parquet").select((F.col("user_id")).alias("k"), F.col("event_id").alias("version"), "value", F.lit("U").alias("op"))
     e = e.withColumn("op", F.when(F.col("version") % 11 == 0, "D").otherwise(F.col("op")))
     bad = e.limit(2).withColumn("k", F.lit(None).cast("long"))
@@ -18,7 +21,8 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(log).count() == e.count() and spark.read.parquet(f"{log}.rejected").count() == 6
     wal.materialize(spark, log, table, schema, ["k"], "version", str(tmp_path / "c2")).awaitTermination()
     last = max(int(p.name[2:]) for p in (tmp_path / "table").iterdir())
-    got = sorted((r.k, r.version, r.value) for r in wal.current(spark, table, last).collect())
+    got = sorted((r.k, r.version, r.value) for r in wal.current(spark, table, last, ["k"], "version").collect())
+    assert last == 3 and (tmp_path / "table.whole").exists() == (whole <= last)
     base = spark.createDataFrame([], e.drop("op").schema)
     want = tables.merge(base, e.withColumn("seq", F.lit(1).cast("long")), ["k"], "version")
     assert got == sorted((r.k, r.version, r.value) for r in want.collect())
