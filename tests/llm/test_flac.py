@@ -150,6 +150,28 @@ def test_equal_texts_are_stored_alike_beside_any_neighbour():
         assert after == [alone, alone]
 
 
+def test_weights_of_linear_predictors_are_stored():
+    wave = bytes(int(128 + 90 * np.sin(i / 5) * np.cos(i / 31)) for i in range(700))
+    media = flac.encode_batch([b"\xff" * 64, wave, b"The quick brown fox. " * 60])
+    assert media[1] == flac.encode_batch([wave])[0]
+    kinds = []
+    for m in media:
+        info = flac._Info(m)
+        body = m[info.frames_at :]
+        for at, n in ((p[1], p[2]) for p in info.seek):
+            kinds.append(body[at + (6 if n == flac.BLOCK else 7)] >> 1)
+    assert kinds[1] == 32 + flac.ORDER - 1, "a wave needs weights"
+    ((info, x),) = flac.decode_batch([media[1]])
+    assert (x[0] + 128).astype(np.uint8).tobytes()[:700] == wave
+    assert (flac._one_by_one(media[1][info.frames_at :], info) == x).all()
+    # Weights by a plain solution of the normal equations of the first frame.
+    first = np.frombuffer(wave[: flac.BLOCK], np.uint8).astype(np.int64) - 128
+    r = [int((first[j:] * first[: len(first) - j]).sum()) for j in range(flac.ORDER + 1)]
+    solved = np.linalg.solve([[r[abs(i - j)] for j in range(flac.ORDER)] for i in range(flac.ORDER)], r[1:])
+    got = flac._weights(first.astype(np.int16), np.arange(flac.BLOCK), np.array([0]))[0]
+    assert np.abs(got - np.clip(solved * (1 << flac.SHIFT), -128, 127)).max() <= 1
+
+
 def test_long_texts_take_several_runs(monkeypatch):
     r = random.Random(5)
     texts = [r.randbytes(1_500_000) + b"\xff\xf8\x80\x02" * 9000, b"a" * 3000, b"", b"The quick brown fox. " * 60_000]

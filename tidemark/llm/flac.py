@@ -9,7 +9,9 @@ Frames are found by their sync code, header checksum and running number. Should
 header (the CRC-16 tells), the stream is decoded frame after frame instead.
 
 As the source has texts, `encode` stores UTF-8 bytes, padded with 0 to a positive multiple of 64, as
-8-bit samples (byte - 128), and the unpadded length in an application block.
+8-bit samples (byte - 128), and the unpadded length in an application block. A frame takes
+the fixed predictor of order 0 to 2 with the smallest residuals, a linear one with weights of its own where
+that is shorter, or plain bytes where these are.
 
 Edge cases: null and empty texts become 64 samples of byte 0; long texts have many frames, which are coded and
 decoded in runs of about `CHUNK` samples, so that a text takes about ten times its size beside a fixed amount; repeated rows give equal media; a null doc_id stays null;
@@ -77,6 +79,35 @@ def _spread(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(upto[-1]) if len(upto) else 0) + np.repeat(begins - (upto - lengths), lengths)
 
 
+#: Samples that a linear predictor of the encoder looks back on; bits of a weight, and by how many of them it is scaled.
+ORDER, PRECISION, SHIFT = 4, 8, 6
+
+
+def _weights(x: np.ndarray, place: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Weights [frame, ORDER] of the predictors that fit the frames' autocorrelation (Levinson-Durbin), as integers.
+
+    Sums are exact and the rest goes element by element, so a frame's weights don't depend on those beside it.
+    """
+    wide = x.astype(np.int32)
+    r = [np.add.reduceat((wide * wide).astype(np.int64), begin).astype(np.float64)]
+    for lag in range(1, ORDER + 1):
+        before = np.concatenate([np.zeros(lag, np.int32), wide[:-lag]])
+        r.append(np.add.reduceat(np.where(place >= lag, wide * before, 0).astype(np.int64), begin).astype(np.float64))
+    w, error = np.zeros((len(begin), ORDER)), r[0]
+    for i in range(ORDER):
+        rest = r[i + 1]
+        for j in range(i):
+            rest = rest - w[:, j] * r[i - j]
+        step = np.where(error > 0, rest / np.where(error > 0, error, 1), 0)
+        last = w.copy()
+        for j in range(i):
+            w[:, j] = last[:, j] - step * last[:, i - 1 - j]
+        w[:, i] = step
+        error = error * (1 - step * step)
+    top = 1 << PRECISION - 1
+    return np.clip(np.rint(w * (1 << SHIFT)), -top, top - 1).astype(np.int32)
+
+
 def _code(pieces: list[bytes], first: list[int]) -> list[tuple[bytes, np.ndarray]]:
     """The frames of each piece, numbered from its first, and their sizes."""
     sizes = np.array([len(p) for p in pieces], np.int64)
@@ -99,15 +130,29 @@ def _code(pieces: list[bytes], first: list[int]) -> list[tuple[bytes, np.ndarray
     order = np.argmin(np.stack([s - sum(np.abs(r[begin + j]) for j in range(o)) for o, (s, r) in enumerate(zip(sums, residuals))]), axis=0)
     e = np.where(np.repeat(order, length) == 0, x, np.where(np.repeat(order, length) == 1, d1, d2)).astype(np.int32)
     place = _spread(np.zeros(frames, np.int64), length)
-    u = np.where(e < 0, -2 * e - 1, 2 * e)
-    mine = place >= np.repeat(order, length)
-    total = np.add.reduceat(np.where(mine, u, 0), begin)
-    n = length - order
-    # The Rice parameter for the mean, and whether verbatim bytes are shorter.
-    k = np.clip(np.floor(np.log2(np.maximum(total / n * 0.7, 1))).astype(np.int64), 0, 14)
-    ks = np.repeat(k, length)
-    bits = np.where(mine, (u >> ks) + 1 + ks, 8)
-    body = 8 + 2 + 4 + 4 + np.add.reduceat(bits, begin)
+
+    def rice(e, order, extra):
+        """Of residuals: their unsigned form, which of them are coded, the Rice parameter for their mean, the bits of samples and those of a subframe."""
+        u = np.where(e < 0, -2 * e - 1, 2 * e)
+        mine = place >= np.repeat(order, length)
+        total = np.add.reduceat(np.where(mine, u, 0).astype(np.int64), begin)
+        k = np.clip(np.floor(np.log2(np.maximum(total / (length - order) * 0.7, 1))).astype(np.int64), 0, 14)
+        ks = np.repeat(k, length)
+        bits = np.where(mine, (u >> ks) + 1 + ks, 8)
+        return u, mine, k, ks, bits, 8 + 2 + 4 + 4 + extra + np.add.reduceat(bits, begin)
+
+    # A predictor with weights of its own where that is shorter, weights included.
+    coded = rice(e, order, 0)
+    weights = _weights(x, place, begin)
+    guess = sum(np.repeat(weights[:, j], length) * np.concatenate([np.zeros(j + 1, np.int32), x[: -j - 1]]) for j in range(ORDER))
+    own = rice(x - (guess >> SHIFT), np.full(frames, ORDER), 9 + PRECISION * ORDER)
+    linear = own[-1] < coded[-1]
+    of_linear = np.repeat(linear, length)
+    u, mine, k, ks, bits, body = (np.where(linear if len(a) == frames else of_linear, b, a) for a, b in zip(coded, own))
+    order = np.where(linear, ORDER, order)
+    extra = np.where(linear, 9 + PRECISION * ORDER, 0)
+    del coded, own, guess
+    # Whether verbatim bytes are shorter.
     verbatim = body >= 8 + 8 * length
     body = np.where(verbatim, 8 + 8 * length, body)
     body_bytes = -(-body // 8)
@@ -120,17 +165,22 @@ def _code(pieces: list[bytes], first: list[int]) -> list[tuple[bytes, np.ndarray
         for b in range(width):
             out[at + b] = (value >> (width - 1 - b)) & 1
 
-    put(bit_begin, np.where(verbatim, 0b00000010, 0b00010000 | order << 1), 8)
-    rice = np.flatnonzero(~verbatim)
-    # Warm-up samples come before the residual's header.
-    for o in (0, 1):
-        has = rice[order[rice] > o]
+    put(bit_begin, np.where(verbatim, 0b00000010, np.where(linear, (0b100000 | ORDER - 1) << 1, 0b00010000 | order << 1)), 8)
+    told = np.flatnonzero(~verbatim)
+    # Warm-up samples, and weights if there are any, come before the residual's header.
+    for o in range(ORDER):
+        has = told[order[told] > o]
         put(bit_begin[has] + 8 + 8 * o, x[begin[has] + o] & 0xFF, 8)
-    put(bit_begin[rice] + 8 + 8 * order[rice] + 6, k[rice], 4)
+    has = told[linear[told]]
+    put(bit_begin[has] + 8 + 8 * ORDER, PRECISION - 1, 4)
+    put(bit_begin[has] + 12 + 8 * ORDER, SHIFT, 5)
+    for j in range(ORDER):
+        put(bit_begin[has] + 17 + 8 * ORDER + PRECISION * j, weights[has, j], PRECISION)
+    put(bit_begin[told] + 8 + (8 * order + extra)[told] + 6, k[told], 4)
     # Where each sample's code ends.
     code = np.where(mine, bits, 0)
     cum = np.cumsum(code)
-    ends = cum - np.repeat(cum[begin] - code[begin], length) + np.repeat(bit_begin + 18 + 8 * order, length)
+    ends = cum - np.repeat(cum[begin] - code[begin], length) + np.repeat(bit_begin + 18 + 8 * order + extra, length)
     coded = mine & ~np.repeat(verbatim, length)
     ends, uu, kk = ends[coded], u[coded], ks[coded]
     out[ends - kk - 1] = 1
