@@ -241,6 +241,12 @@ def test_odd_urls(spark):
         host, path, rule = brute_rule(r.url)
         assert (r.host, r.path, r.rule) == (host, path, str(rule) if rule else None) and r.verdict in ("allow", "block")
     assert urls.filter_urls(df.limit(0)).count() == 0
+    # Rows that are there twice are judged twice, alike.
+    twice = urls.filter_urls(df.unionByName(df)).collect()
+    by = {}
+    for r in twice:
+        by.setdefault((r.page_id, r.url), []).append((r.host, r.path, r.rule, r.verdict))
+    assert len(twice) == 24 and all(len(v) == 2 and v[0] == v[1] for v in by.values())
 
 
 def test_trees_on_labels_held_out(spark):
